@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, media, mixing, near_duplicates, packing, pii, token_store
+from quern.llm import chat, media, mixing, near_duplicates, packing, pii, token_store, toxicity, vantage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +50,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"))
 
 
+def op9_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op4_chat, op5_mixing, op6_packing, op7_near_duplicates, op8_token_store)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op4_chat, op5_mixing, op6_packing, op7_near_duplicates, op8_token_store, op9_vantage, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,8 @@ FOLDED = RAW.copy()
 FOLDED[65:91] = RAW[97:123]
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
+WORDY = np.zeros(256, bool)
+WORDY[48:58] = WORDY[65:91] = WORDY[97:123] = WORDY[128:] = True
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -74,10 +76,10 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of a run of documents: byte ranges, hashes, and the first word of each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True, solid: np.ndarray = NONSPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
-        solid = NONSPACE[data]
+        solid = solid[data]
         at = offsets[:-1][offsets[:-1] < n]
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]
@@ -97,10 +99,18 @@ class Words:
         before = self.start > 0
         value[before] -= total[self.start[before] - 1]
         value *= back[self.start]
-        self.poly = value
+        self.total, self.back = total, back
         self.hash = mix(value + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.first = np.searchsorted(self.start, offsets)
 
+    def stretch(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of non-empty byte ranges inside words."""
+        value = self.total[end - 1]
+        before = begin > 0
+        value[before] -= self.total[begin[before] - 1]
+        value *= self.back[begin]
+        return mix(value + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
     def text(self, k: int) -> bytes:
         return self.data[self.start[k] : self.end[k]].tobytes()
 
