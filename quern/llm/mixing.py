@@ -13,7 +13,8 @@ rows to the power ``alpha`` (tempered sampling).  ``period`` is the least A, eac
 to about 1 part in ``period``.
 
 Defined results: a null source is the source ''; a source without a given weight gets the smallest given one; repeated
-rows are separate rows; null ids are ids like others; an empty table gives no rows.  Extra columns stay as they are.
+rows are separate rows; null ids are ids like others; an empty table gives no rows.  Extra columns stay as they
+are (of the names mix_* the schedule's take the place).
 
 At scale: the row numbers inside a source come from counts of hash buckets of bounded size, so a source with a third of
 all rows is numbered by as many tasks as any other rows; the schedule's table has about A rows and is broadcast.
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from quern.llm.storage import stored
 
 BUCKET_ROWS = 4096
-_OWN = ("__source", "__hash", "__bucket", "__rank", "__block", "__turn")
 
 
 def sources_table(docs: DataFrame, weights: Mapping[str, float] | None, alpha: float, period: int, source_col: str) -> DataFrame:
@@ -82,23 +82,25 @@ def positions(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha
     named = named.withColumn("__bucket", F.pmod(F.shiftright("__hash", 8), F.lit(buckets)))
     order = [F.col("__hash"), F.col(id_col), *[F.col(c) for c in docs.columns if c not in (id_col, source_col) and docs.schema[c].dataType.typeName() != "map"]]
     sizes = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.pmod(F.shiftright(F.xxhash64(*[F.col(c) for c in (id_col, source_col)]), 8), F.lit(buckets)).alias("__bucket")).groupBy("__source", "__bucket").agg(F.count("*").alias("size"))
-    first = sizes.select("__source", "__bucket", (F.sum("size").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("size")).alias("first"))
+    first = sizes.select("__source", "__bucket", (F.sum("size").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("size")).alias("__first"))
     numbered = named.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy(*order)) - 1).join(first, ["__source", "__bucket"])
     plan = stored(schedule(sources_table(docs, weights, alpha, period, source_col)), "schedule")
-    share = plan.select(F.col("name").alias("own"), F.get("share", F.col("i")).alias("own_a"), F.col("j"), "slot", "n", F.col("share").alias("all_a"), F.col("period").alias("A"), "before")
-    mine = share.groupBy("own").agg(F.first("own_a").alias("per"))
-    placed = numbered.join(F.broadcast(mine), F.col("__source") == F.col("own")).drop("own").withColumn("__rank", F.col("__rank") + F.col("first"))
-    placed = placed.withColumn("__block", F.floor(F.col("__rank") / block_rows)).withColumn("__turn", F.col("__block") % F.col("per"))
-    placed = placed.join(F.broadcast(share), (F.col("__source") == F.col("own")) & (F.col("__turn") == F.col("j")))
-    cycle = F.floor(F.col("__block") / F.col("own_a"))
-    done = F.aggregate(F.arrays_zip("n", "all_a", "before"), F.lit(0).cast("long"), lambda s, x: s + F.least(x["n"], block_rows * (cycle * x["all_a"] + x["before"])))
+    own = {"__own": F.col("name"), "__own_a": F.get("share", F.col("i")), "__j": F.col("j"), "__slot": F.col("slot"), "__n": F.col("n"), "__all": F.col("share"), "__period": F.col("period"), "__before": F.col("before")}
+    share = plan.select(*[v.alias(k) for k, v in own.items()])
+    mine = share.groupBy("__own").agg(F.first("__own_a").alias("__per"))
+    placed = numbered.join(F.broadcast(mine), F.col("__source") == F.col("__own")).drop("__own").withColumn("__rank", F.col("__rank") + F.col("__first"))
+    placed = placed.withColumn("__block", F.floor(F.col("__rank") / block_rows)).withColumn("__turn", F.col("__block") % F.col("__per"))
+    placed = placed.join(F.broadcast(share), (F.col("__source") == F.col("__own")) & (F.col("__turn") == F.col("__j")))
+    cycle = F.floor(F.col("__block") / F.col("__own_a"))
+    start = cycle * F.col("__period")
+    done = F.aggregate(F.arrays_zip("__n", "__all", "__before"), F.lit(0).cast("long"), lambda s, x: s + F.least(x["__n"], block_rows * (cycle * x["__all"] + x["__before"])))
     made = {
-        "mix_block": F.col("__block"), "mix_slot": cycle * F.col("A") + F.col("slot"),
-        "mix_release": cycle * F.col("A") + release(F.col("j"), F.col("own_a"), F.col("A")),
-        "mix_deadline": cycle * F.col("A") + deadline(F.col("j"), F.col("own_a"), F.col("A")),
+        "mix_block": F.col("__block"), "mix_slot": start + F.col("__slot"),
+        "mix_release": start + release(F.col("__j"), F.col("__own_a"), F.col("__period")),
+        "mix_deadline": start + deadline(F.col("__j"), F.col("__own_a"), F.col("__period")),
         "mix_position": done + F.col("__rank") % block_rows,
     }
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.cast("long").alias(k) for k, v in made.items()])
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], *[v.cast("long").alias(k) for k, v in made.items()])
 
 
 def mixed(docs: DataFrame, rows_per_partition: int = 8192, **options) -> DataFrame:

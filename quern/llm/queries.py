@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, media, mixing, near_duplicates, packing, pii, token_store, toxicity, vantage
+from quern.llm import chat, media, mixing, nbsvm, near_duplicates, packing, pii, token_store, toxicity, vantage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_table(rows.unionByName(spark.sql(_HOSTILE)))
@@ -60,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_media, op4_chat, op5_mixing, op6_packing, op7_near_duplicates, op8_token_store, op9_vantage, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_media, op3_quality, op4_chat, op5_mixing, op6_packing, op7_near_duplicates, op8_token_store, op9_vantage, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
