@@ -17,6 +17,8 @@ does; array steps are linear in the number of turns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,33 +38,45 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, whatever lambdas it appears in."""
+    return F.transform(F.array(value), use)[0]
+
+
 def running_sum(values: Column) -> Column:
-    """Sums of all elements before each element, from sums of blocks and sums inside a block."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0).cast("long"), lambda s, x: s + x))
-    grown = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
-    inside = lambda i: F.aggregate(F.slice(values, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK), F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.transform(values, lambda x, i: F.element_at(grown, F.floor(i / _BLOCK).cast("int") + 1) + inside(i))
+    """Sums of all elements before each element of a bound array, from sums of blocks and sums inside a block."""
+    zero, add = F.lit(0).cast("long"), lambda s, x: s + x
+    whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), zero, add))
+    grown = let(whole, lambda w: F.aggregate(w, F.array(zero), lambda s, x: F.array_append(s, F.element_at(s, -1) + x)))
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    inside = lambda i: F.aggregate(F.slice(values, block(i) * _BLOCK + 1, i % _BLOCK), zero, add)
+    return let(grown, lambda g: F.transform(values, lambda x, i: F.get(g, block(i)) + inside(i)))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, mask (array of start and length) from rows of conv_id, turn, role, text."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), text("role").alias("role"), text("text").alias("text")))).alias("turns"))
-    role = lambda i: F.get(F.col("turns"), i)["role"]
-    opens = lambda i: (i == 0) | (role(i) != role(i - 1))
-    closes = lambda i: (i == F.size("turns") - 1) | (role(i) != role(i + 1))
-    parts = F.transform("turns", lambda t, i: F.struct(
-        F.when(opens(i), F.concat(F.lit("<turn "), escape(t["role"], role=True), F.lit(">"))).otherwise(SEPARATOR).alias("before"),
-        escape(t["text"]).alias("body"),
-        F.when(closes(i), END).otherwise("").alias("after"),
-        (t["role"] == "assistant").alias("loss")))
-    laid = turns.select("conv_id", parts.alias("parts"))
-    sizes = F.transform("parts", lambda p: F.length(p["before"]).cast("long") + F.length(p["body"]) + F.length(p["after"]))
-    laid = laid.withColumn("starts", running_sum(sizes))
-    spans = F.transform("parts", lambda p, i: F.struct((F.get("starts", i) + F.length(p["before"])).alias("start"), F.length(p["body"]).cast("long").alias("length"), p["loss"].alias("loss")))
-    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["length"]))
-    formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["before"], p["body"], p["after"])), "")
-    return laid.select("conv_id", formatted.alias("formatted"), mask.alias("mask"))
+
+    def pieces(t: Column) -> Column:
+        role = lambda i: F.get(t, i)["role"]
+        opens = lambda i: (i == 0) | (role(i) != role(i - 1))
+        closes = lambda i: (i == F.size(t) - 1) | (role(i) != role(i + 1))
+        return F.transform(t, lambda x, i: F.struct(
+            F.when(opens(i), F.concat(F.lit("<turn "), escape(x["role"], role=True), F.lit(">"))).otherwise(SEPARATOR).alias("before"),
+            escape(x["text"]).alias("body"),
+            F.when(closes(i), END).otherwise("").alias("after"),
+            (x["role"] == "assistant").alias("loss")))
+
+    def laid(p: Column, starts: Column) -> Column:
+        spans = F.transform(p, lambda x, i: F.struct((F.get(starts, i) + F.length(x["before"])).alias("start"), F.length(x["body"]).cast("long").alias("length"), x["loss"].alias("loss")))
+        mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["length"]))
+        formatted = F.array_join(F.transform(p, lambda x: F.concat(x["before"], x["body"], x["after"])), "")
+        return F.struct(formatted.alias("formatted"), mask.alias("mask"))
+
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["before"]).cast("long") + F.length(x["body"]) + F.length(x["after"]))
+    out = let(F.col("turns"), lambda t: let(pieces(t), lambda p: let(let(sizes(p), running_sum), lambda s: laid(p, s))))
+    return turns.select("conv_id", out.alias("o")).select("conv_id", "o.formatted", "o.mask")
 
 
 def parse(formatted: DataFrame) -> DataFrame:
