@@ -91,7 +91,7 @@ def implode(rows: DataFrame, by: list[str], order: str, lists: list[str]) -> Dat
     """The inverse: one row per key, its elements in order."""
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *[F.col(f"`{c}`").alias(f"l{i}") for i, c in enumerate(lists)])))
     grouped = rows.groupBy(*by).agg(packed.alias("p"))
-    return grouped.select(*by, *[F.transform("p", lambda e, i=i: e[f"l{i}"]).alias(c) for i, c in enumerate(lists)])
+    return grouped.select(*by, *[F.col("p").getField(f"l{i}").alias(c) for i, c in enumerate(lists)])
 
 
 def map_get(column: Column, key: Column, default: Column | None = None) -> Column:
@@ -120,7 +120,7 @@ def flatten_records(rows: DataFrame, separator: str = "_", name: str | None = No
                 walk(col[f.name], f.dataType, f"{at}{separator}{f.name}")
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             for f in kind.elementType.fields:
-                walk(F.transform(col, lambda e, n=f.name: e[n]), T.ArrayType(f.dataType), f"{at}{separator}{f.name}")
+                walk(col[f.name], T.ArrayType(f.dataType), f"{at}{separator}{f.name}")
         else:
             out.append(col.alias(at))
 

@@ -12,11 +12,17 @@ from pyspark.sql.streaming import StreamingQuery
 from quern.functions import numeric
 from quern.operators.histogram import Axis, bin_columns
 from quern.plans.language import Compiler
+from quern.sources import files
 
 
-def read(spark: SparkSession, folder: str, schema: Any, files_per_batch: int = 1) -> DataFrame:
-    """New files of a folder, so many a micro-batch, each file once."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read(spark: SparkSession, path: str, schema: Any, files_per_batch: int = 1) -> DataFrame:
+    """New files of a folder (or the one file), so many a micro-batch, each file once."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    fs, where = files.hadoop_path(spark, path)
+    if fs.exists(where) and fs.getFileStatus(where).isFile():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def select(stream: DataFrame, expressions: Sequence[str], cut: str | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
