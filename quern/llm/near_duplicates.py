@@ -9,10 +9,11 @@ are linked when 100 |A and B| >= 85 |A or B| on the full sets, and a component i
    after the leading one.
 2. Documents with the same fingerprint have the same set; only one representative of each set goes on.
 3. Registers are cut in bands of six.  Two sets of Jaccard similarity 0.85 share none of 42 bands with a probability
-   of (1 - 0.85^6)^42, below 3e-9.  In each band value that several sets share, one of them (another one in each
-   band) leads, and the others are held against it: pairs grow with rows, not with their square.
-4. Sets that fell together with a leader are linked; then, in band values whose sets are still in several components,
-   the pairs across components are held against each other, so a link that no leader shows is found as well.
+   of (1 - 0.85^6)^42, below 3e-9.  In each band value that several sets share, the one that meets most
+   others leads, and the others are held against it: pairs grow with rows, not with their square.
+4. Sets that reach the threshold with a leader are linked; then, in band values whose sets are still in several
+   components, the pairs across components that an exact bound leaves possible are held against each other, so a link
+   that no leader shows is found as well.
 5. A pair goes on when the registers' Jaccard estimate, less the collisions expected of registers so short, is within
    five standard errors of the threshold, and then is confirmed on the full sets of both texts.
 
@@ -140,17 +141,26 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def bitmap_filter(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
-    """Rows of ``docs`` whose id's bit is set: all rows of ``ids`` and few others.  The bitmap has ``max_bits`` at most, so its broadcast is bounded whatever the data."""
+def bitmap_mark(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
+    """``docs`` with ``__bm_hit``: true for all rows of ``ids`` (a column ``id``) and few others.
+
+    The bitmap has ``max_bits`` at most, so its broadcast is bounded whatever the data; more ids only make it less sharp.
+    """
     n = ids.count()
     bits = min(max_bits, max(1 << 15, 1 << math.ceil(math.log2(16 * n + 1))))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    made = ids.select(place(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
-    at = F.bitmap_bit_position("p")
-    byte = F.conv(F.hex(F.col("map").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(p) % 8 as int))")) != 0
-    marked = docs.withColumn("p", place(F.col(id_col)))
-    return marked.join(F.broadcast(made), F.bitmap_bucket_number("p") == F.col("bucket")).where(hit).drop("p", "bucket", "map")
+    made = ids.select(place(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bm_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bm_map"))
+    at = F.bitmap_bit_position("__bm_p")
+    byte = F.conv(F.hex(F.col("__bm_map").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__bm_p) % 8 as int))")) != 0
+    marked = docs.withColumn("__bm_p", place(F.col(id_col)))
+    marked = marked.join(F.broadcast(made), F.bitmap_bucket_number("__bm_p") == F.col("__bm_bucket"), "left")
+    return marked.withColumn("__bm_hit", F.coalesce(hit, F.lit(False))).drop("__bm_p", "__bm_bucket", "__bm_map")
+
+
+def bitmap_filter(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id's bit is set."""
+    return bitmap_mark(docs, ids, id_col).where("__bm_hit").drop("__bm_hit")
 
 
 def close_pairs(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -197,30 +207,72 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def led_bands(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Band values that several sets share, as (key, rep, size); and the pairs (a, b) of their sets and leaders.
+
+    The leader of a band value is its set that meets most others over all bands: of a text and its altered copies
+    this is the text, to which copies are closer than to each other.
+    """
+    bands = band_values(reps)
+    shared = stored(bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bands")
+    known = shared.groupBy("rep").agg(F.sum("size").alias("met"))
+    led = shared.join(known, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("leader"))
+    return shared, stored(shared.join(led, "key").where("rep <> leader").select(*_pair(F.col("rep"), F.col("leader"))).distinct(), "pairs")
+
+
+def own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, own): of each document in ``ids``, how many shingles no other document there has."""
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in chunks(offsets):
+                flat, ends = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                rep = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(ends))
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(rep)], names=["shingle", "rep"])
+
+    texts = bitmap_filter(docs, ids, "doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    rows = texts.mapInArrow(work, "shingle long, rep long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    return single.groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def open_pairs(shared: DataFrame, part: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int, twice: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that share a band value, lie in different components, and may still reach the threshold.
+
+    A set's own shingles, which no other open set has, are in no intersection: |A and B| is at most the smaller of
+    |A| - own(A) and |B| - own(B).  A copy altered beyond the threshold has its alterations for itself, so this exact
+    bound rules out nearly all pairs before they are made.
+    """
+    placed = shared.where("size > 2").join(part, shared["rep"] == part["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = lambda rows: rows.join(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "key")
+    open_sets = stored(mixed(stored(placed, "placed")), "open")
+    own = own_shingles(open_sets.select(F.col("rep").alias("id")).distinct(), docs).join(twice.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
+    sized = reps.groupBy("rep").agg(F.min("n").alias("least"), F.max("n").alias("n")).join(own, "rep", "left").select("rep", "n", F.when(F.col("least") == F.col("n"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+    rows = stored(mixed(open_sets.join(sized, "rep").where(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n")).select("key", "rep", "component", "n", "own")), "bounded")
+    x, y = rows.alias("x"), rows.alias("y")
+    bound = "least(x.n - x.own, y.n - y.own)"
+    return x.join(y, F.expr(f"x.key = y.key and x.component < y.component and {100 + threshold} * {bound} >= {threshold} * (x.n + y.n)")).select(*_pair(F.col("x.rep"), F.col("y.rep"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = stored(signatures(docs), "signatures")
     known = sigs.where("doc_id is not null and n_shingles > 0")
     reps = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs")), "representatives")
-    bands = band_values(reps)
-    led = bands.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(bands.join(led, "key"), "bands")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = stored(shared.where("rep <> leader").select(*pair("rep", "leader")).distinct(), "pairs")
+    shared, first = led_bands(reps)
     links = stored(confirmed(stored(close_pairs(first, reps, threshold), "close"), docs, threshold), "links")
     member = known.select("doc_id", "fp").join(reps.select("fp", "rep"), "fp").select("doc_id", "rep")
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("m"), F.max("rep").alias("top")).where("m < top")
     again = member.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("m").alias("b")).unionAll(member.where("doc_id <> rep").join(twice, "doc_id").select("doc_id", "rep"))
     links = links.unionAll(again)
     part = components(links)
-    of = lambda c: F.coalesce(c, F.col("rep")).alias("component")
-    placed = shared.where("size > 2").join(part, shared["rep"] == part["node"], "left").select("key", "rep", of(F.col("component")))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_sets = stored(placed.join(split, "key"), "open")
-    x, y = open_sets.alias("x"), open_sets.alias("y")
-    across = x.join(y, F.expr("x.key = y.key and x.component < y.component")).select(*pair(F.col("x.rep"), F.col("y.rep"))).distinct()
-    across = stored(across.join(first, ["a", "b"], "left_anti"), "across")
+    across = stored(open_pairs(shared, part, reps, docs, threshold, twice).join(first, ["a", "b"], "left_anti"), "across")
     more = stored(confirmed(stored(close_pairs(across, reps, threshold), "close"), docs, threshold), "links")
     if not more.isEmpty():
         part = components(links.unionAll(more))
@@ -230,7 +282,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
 
 
 def survivors(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are kept; of rows with one id, the id decides."""
-    gone: Column = ~F.col("kept")
-    drop = found.where(gone).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__gone"], "left_anti")
+    """The rows of ``docs`` that are kept: one document of each component, the one of smallest id, and all of null id.
+
+    Only rows whose id's bit is set are shuffled and held against the dropped ids; the others stay where they are.
+    """
+    drop = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    marked = bitmap_mark(docs, drop, id_col)
+    checked = marked.where("__bm_hit").join(drop.withColumnRenamed("id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    return marked.where("not __bm_hit").unionByName(checked).drop("__bm_hit")
