@@ -312,6 +312,8 @@ class Tree:
             if flat:
                 raise ExpressionError(f"a list-valued cut has no meaning for {', '.join(flat)}; explode with cut_broadcast=True")
             outputs = [(k, masked(v, test)) for k, v in outputs]
+        if how is not None and how != "zip" and files.FILE in rows.columns:  # containers keep the order of entries
+            rows = rows.orderBy(files.FILE, files.ROW)
         out = rows.select(*[v.col.alias(k) for k, v in outputs], *extra)
         if how == "zip":
             return nested.zip_lists(out)
