@@ -54,3 +54,18 @@ def undelta(deltas: Column) -> Column:
     """Running sums of a list of differences."""
     first = F.slice(F.transform(deltas, lambda d: d.cast("bigint")), 1, 1)
     return F.aggregate(F.slice(deltas, F.lit(2), F.greatest(F.size(deltas) - 1, F.lit(0))), first, lambda s, d: F.array_append(s, F.element_at(s, -1) + d.cast("bigint")))
+
+
+def symmetric(packed: Column, n: int) -> Column:
+    """An n x n symmetric matrix, as a list of rows, from the packed lower triangle."""
+    place = lambda i, j: max(i, j) * (max(i, j) + 1) // 2 + min(i, j)
+    return F.array(*[F.array(*[F.get(packed, F.lit(place(i, j))) for j in range(n)]) for i in range(n)])
+
+
+def truncate_float(value: Column, bits: int) -> Column:
+    """A float with its mantissa cut to so many of its 23 bits, as truncated storage keeps it."""
+    drop = 1 << 23 - bits
+    exponent = F.floor(F.log2(F.abs(value.cast("double"))))
+    unit = F.pow(F.lit(2.0), exponent - 23) * drop
+    cut = F.when(value >= 0, F.floor(value.cast("double") / unit)).otherwise(F.ceil(value.cast("double") / unit)) * unit
+    return F.when((value == 0) | F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(cut).cast("float")

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.filters import KeyInTableError
 from quern.operators.tree import DEFAULT_STEP, Report, Tree, bounds
@@ -119,6 +120,30 @@ def lazy(spark: SparkSession, sources: Any, *, open_files: bool = True, schema:
     return reduce(DataFrame.unionByName, [t.rows.select(*[F.col(f"`{c}`") for c in first]) for t in found])
 
 
+def zero_of(kind: T.DataType) -> Any:
+    """What a column that a file doesn't have yet reads as: zero, the empty string, the empty list, a struct of these."""
+    if isinstance(kind, T.ArrayType):
+        return F.array().cast(kind)
+    if isinstance(kind, T.MapType):
+        return F.create_map().cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[zero_of(f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    return F.lit({"string": "", "boolean": False, "binary": b""}.get(kind.simpleString())).cast(kind)
+
+
+def evolved(spark: SparkSession, sources: Any) -> DataFrame:
+    """All files with the union of their columns; columns added in later files are zero in the earlier ones."""
+    found = trees(spark, sources)
+    kinds: dict[str, T.DataType] = {}
+    for t in found:
+        for f in t.schema.fields:
+            kinds.setdefault(f.name, f.dataType)
+    full = [t.rows.select(*[F.col(f"`{c}`") if c in t.schema.names else zero_of(k).alias(c) for c, k in kinds.items()]) for t in found]
+    return reduce(DataFrame.unionByName, full)
+
+
 def partitions(tree: Tree, step_size: int | str | None = None, steps_per_file: int = 1) -> list[tuple[str, int, int]]:
     """(file, start, stop) of a partitioned read: one step a file by default, or steps of about a size."""
     size = None
