@@ -14,8 +14,9 @@ are linked when 100 |A and B| >= 85 |A or B| on the full sets, and a component i
 4. Sets that reach the threshold with a leader are linked; then, in band values whose sets are still in several
    components, the pairs across components that an exact bound leaves possible are held against each other, so a link
    that no leader shows is found as well.
-5. A pair goes on when the registers' Jaccard estimate, less the collisions expected of registers so short, is within
-   five standard errors of the threshold, and then is confirmed on the full sets of both texts.
+5. A pair with a leader goes on when the registers' Jaccard estimate, less the collisions expected of registers so
+   short, is within five standard errors of the threshold; it is then confirmed on the full sets of both texts.  Pairs
+   across components have passed the sharper bound and are confirmed at once.
 
 Defined results: null or blank text is an empty set, linked with nothing.  Rows of one ``doc_id`` are one document.
 A null ``doc_id`` links with nothing: its component is null and it is kept.  Other columns are not read.
@@ -114,11 +115,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def band_values(reps: DataFrame) -> DataFrame:
-    """(key, rep): one row per representative and band with at least one filled register."""
+    """(key, rep, n): one row per representative and band with at least one filled register; n is the set's size."""
     width = 2 * ROWS
     part = lambda i: F.col("regs").substr(i * width + 1, F.lit(width))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.when(part(i) != F.lit(b"\xff" * width), F.xxhash64(i, part(i))))
-    return reps.select("rep", F.explode(keys).alias("key")).where("key is not null").select("key", "rep")
+    return reps.select("rep", "n", F.explode(keys).alias("key")).where("key is not null").select("key", "rep", "n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,8 +212,8 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def led_bands(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Band values that several sets share, as (key, rep, size); and the pairs (a, b) of their sets and leaders.
+def led_bands(reps: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Band values that several sets share, as (key, rep, n, size); and the pairs (a, b) of their sets and leaders whose sizes allow the threshold.
 
     The leader of a band value is its set that meets most others over all bands: of a text and its altered copies
     this is the text, to which copies are closer than to each other.
@@ -220,8 +221,10 @@ def led_bands(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = band_values(reps)
     shared = stored(bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bands")
     known = shared.groupBy("rep").agg(F.sum("size").alias("met"))
-    led = shared.join(known, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", F.xxhash64("rep"))).alias("leader"))
-    return shared, stored(shared.join(led, "key").where("rep <> leader").select(*_pair(F.col("rep"), F.col("leader"))).distinct(), "pairs")
+    led = shared.join(known, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("met", F.xxhash64("rep"))).alias("l"))
+    led = led.select("key", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"))
+    fits = (F.col("rep") != F.col("leader")) & (100 * F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
+    return shared, stored(shared.join(led, "key").where(fits).select(*_pair(F.col("rep"), F.col("leader"))).distinct(), "pairs")
 
 
 def own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -265,7 +268,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     sigs = stored(signatures(docs), "signatures")
     known = sigs.where("doc_id is not null and n_shingles > 0")
     reps = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs")), "representatives")
-    shared, first = led_bands(reps)
+    shared, first = led_bands(reps, threshold)
     links = stored(confirmed(stored(close_pairs(first, reps, threshold), "close"), docs, threshold), "links")
     member = known.select("doc_id", "fp").join(reps.select("fp", "rep"), "fp").select("doc_id", "rep")
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("m"), F.max("rep").alias("top")).where("m < top")
@@ -273,7 +276,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     links = links.unionAll(again)
     part = components(links)
     across = stored(open_pairs(shared, part, reps, docs, threshold, twice).join(first, ["a", "b"], "left_anti"), "across")
-    more = stored(confirmed(stored(close_pairs(across, reps, threshold), "close"), docs, threshold), "links")
+    more = stored(confirmed(across, docs, threshold), "links")
     if not more.isEmpty():
         part = components(links.unionAll(more))
     placed = member.join(part, member["rep"] == part["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
