@@ -16,7 +16,7 @@ are linked when 100 |A and B| >= 85 |A or B| on the full sets, and a component i
    that no leader shows is found as well.
 5. A pair with a leader goes on when the registers' Jaccard estimate, less the collisions expected of registers so
    short, is within five standard errors of the threshold; it is then confirmed on the full sets of both texts.  Pairs
-   across components have passed the sharper bound and are confirmed at once.
+   across components have passed the exact bound and are confirmed at once.
 
 Defined results: null or blank text is an empty set, linked with nothing.  Rows of one ``doc_id`` are one document.
 A null ``doc_id`` links with nothing: its component is null and it is kept.  Other columns are not read.
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.storage import stored
+from quern.llm.storage import discard, stored
 from quern.llm.textcore import Words, chunks, mix, text_buffers
 
 SHINGLE = 5
@@ -135,7 +135,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))  # small star: smaller neighbours and the node itself
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "edges")
+        last, edges = edges, stored(small.where("a <> b").distinct(), "edges")
+        discard(last)
         after = state(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -205,7 +206,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
                 keep.append(bool(len(p) and len(q)) and 100 * both_of >= threshold * (len(p) + len(q) - both_of))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(work, "a long, b long")
+    links = stored(both.mapInArrow(work, "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -227,39 +230,55 @@ def led_bands(reps: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     return shared, stored(shared.join(led, "key").where(fits).select(*_pair(F.col("rep"), F.col("leader"))).distinct(), "pairs")
 
 
-def own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, own): of each document in ``ids``, how many shingles no other document there has."""
+SKETCH_LONGS = 16
+
+
+def odd_sketches(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(documents, 16) longs: of 1024 bits, each is the parity of the shingles that hash to it.
+
+    The exclusive or of two sketches is the sketch of the sets' symmetric difference, so its number of ones is at most
+    the size of that difference: an exact bound, not an estimate.
+    """
+    n_docs, bits = len(ends) - 1, 64 * SKETCH_LONGS
+    cell = np.repeat(np.arange(n_docs) * bits, np.diff(ends)) + (mix(flat) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n_docs * bits) & 1).astype(np.uint8).reshape(n_docs, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, s0 ... s15) of the documents in ``ids``."""
 
     def work(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in chunks(offsets):
-                flat, ends = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rep = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(ends))
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(rep)], names=["shingle", "rep"])
+                made = odd_sketches(*shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(np.ascontiguousarray(made[:, k])) for k in range(SKETCH_LONGS)]], names=["rep", *(f"s{k}" for k in range(SKETCH_LONGS))])
 
     texts = bitmap_filter(docs, ids, "doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    rows = texts.mapInArrow(work, "shingle long, rep long")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1")
-    return single.groupBy("rep").agg(F.count("*").alias("own"))
+    return texts.mapInArrow(work, "rep long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS)))
 
 
-def open_pairs(shared: DataFrame, part: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int, twice: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a band value, lie in different components, and may still reach the threshold.
+def open_pairs(shared: DataFrame, part: DataFrame, docs: DataFrame, threshold: int, twice: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b), not yet tried, of sets that share a band value, lie in different components, and may reach the threshold.
 
-    A set's own shingles, which no other open set has, are in no intersection: |A and B| is at most the smaller of
-    |A| - own(A) and |B| - own(B).  A copy altered beyond the threshold has its alterations for itself, so this exact
-    bound rules out nearly all pairs before they are made.
+    With d the ones in the exclusive or of two odd sketches, the sets differ in d shingles at least, so their similarity
+    is at most (|A| + |B| - d) / (|A| + |B| + d).  Texts altered beyond the threshold are ruled out inside the join, and
+    no true link is.  Documents of several texts have no one sketch and are always held against each other.
     """
-    placed = shared.where("size > 2").join(part, shared["rep"] == part["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = lambda rows: rows.join(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "key")
-    open_sets = stored(mixed(stored(placed, "placed")), "open")
-    own = own_shingles(open_sets.select(F.col("rep").alias("id")).distinct(), docs).join(twice.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
-    sized = reps.groupBy("rep").agg(F.min("n").alias("least"), F.max("n").alias("n")).join(own, "rep", "left").select("rep", "n", F.when(F.col("least") == F.col("n"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
-    rows = stored(mixed(open_sets.join(sized, "rep").where(100 * (F.col("n") - F.col("own")) >= threshold * F.col("n")).select("key", "rep", "component", "n", "own")), "bounded")
+    placed = stored(shared.where("size > 2").join(part, shared["rep"] == part["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_sets = stored(placed.join(split, "key"), "open")
+    made = sketches(open_sets.select(F.col("rep").alias("id")).distinct(), docs).join(twice.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
+    rows = open_sets.join(made, "rep", "left")
     x, y = rows.alias("x"), rows.alias("y")
-    bound = "least(x.n - x.own, y.n - y.own)"
-    return x.join(y, F.expr(f"x.key = y.key and x.component < y.component and {100 + threshold} * {bound} >= {threshold} * (x.n + y.n)")).select(*_pair(F.col("x.rep"), F.col("y.rep"))).distinct()
+    differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(SKETCH_LONGS))
+    # threshold: 100 (m - d) >= t (m + d) for m = |A| + |B|; a missing sketch rules nothing out
+    may = f"coalesce({100 - threshold} * (x.n + y.n) >= {100 + threshold} * ({differ}), true)"
+    pairs = x.join(y, F.expr(f"x.key = y.key and x.component < y.component and {may}")).select(*_pair(F.col("x.rep"), F.col("y.rep"))).distinct()
+    across = stored(pairs.join(tried, ["a", "b"], "left_anti"), "across")
+    discard(placed, open_sets)
+    return across
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,14 +288,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     known = sigs.where("doc_id is not null and n_shingles > 0")
     reps = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs")), "representatives")
     shared, first = led_bands(reps, threshold)
-    links = stored(confirmed(stored(close_pairs(first, reps, threshold), "close"), docs, threshold), "links")
+    close = stored(close_pairs(first, reps, threshold), "close")
+    links = confirmed(close, docs, threshold)
     member = known.select("doc_id", "fp").join(reps.select("fp", "rep"), "fp").select("doc_id", "rep")
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("m"), F.max("rep").alias("top")).where("m < top")
     again = member.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("m").alias("b")).unionAll(member.where("doc_id <> rep").join(twice, "doc_id").select("doc_id", "rep"))
     links = links.unionAll(again)
     part = components(links)
-    across = stored(open_pairs(shared, part, reps, docs, threshold, twice).join(first, ["a", "b"], "left_anti"), "across")
-    more = stored(confirmed(across, docs, threshold), "links")
+    across = open_pairs(shared, part, docs, threshold, twice, first)
+    more = confirmed(across, docs, threshold)
+    discard(shared, first, close, across)
     if not more.isEmpty():
         part = components(links.unionAll(more))
     placed = member.join(part, member["rep"] == part["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
