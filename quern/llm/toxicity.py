@@ -171,12 +171,13 @@ def distinct_rows(sets: list[np.ndarray], sketch: int = 16, same: int = 9) -> np
 def choose_terms(sets: list[np.ndarray], toxic: np.ndarray, z: float = 2.8, ratio: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
     """Terms that toxic rows hold significantly more often, and their document frequencies."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1:
+    if not n1 or not sum(len(s) for s, y in zip(sets, toxic, strict=True) if y):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     many, c1 = np.unique(np.concatenate([s for s, y in zip(sets, toxic, strict=True) if y]), return_counts=True)
-    clean = np.concatenate([s for s, y in zip(sets, toxic, strict=True) if not y] or [np.zeros(0, np.uint64)])
-    clean = np.sort(clean[np.isin(clean, many)])
-    c0 = np.searchsorted(clean, many, side="right") - np.searchsorted(clean, many, side="left")
+    c0 = np.zeros(len(many), np.int64)
+    for s in (s for s, y in zip(sets, toxic, strict=True) if not y and len(s)):
+        at = np.minimum(np.searchsorted(many, s), len(many) - 1)
+        np.add.at(c0, at[many[at] == s], 1)
     odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
     error = np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
     keep = (odds / error >= z) & (c1 * max(1, n0) >= ratio * c0 * n1) & (c1 >= 2)
@@ -207,9 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int =
     if not len(hashes):
         return empty
     known = Lookup(hashes)
-    texts = {r.doc_id: r.text for r in rows.select("doc_id", "text").toLocalIterator() if np.isin(sets[np.searchsorted(ids, r.doc_id)], hashes).any()}
-    data, offsets = text_buffers(pa.array([texts.get(i, "") for i in ids.tolist()], pa.large_string()))
-    rows_of = vectors(known, idf, data, offsets)
+    with_terms = {int(i) for i, t in zip(ids, sets, strict=True) if (known.find(t) >= 0).any()}
+    rows_of: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+    place = {int(i): k for k, i in enumerate(ids)}
+    for r in rows.select("doc_id", "text").toLocalIterator():
+        if r.doc_id in with_terms:
+            data, offsets = text_buffers(pa.array([r.text], pa.large_string()))
+            rows_of[place[r.doc_id]] = vectors(known, idf, data, offsets)[0]
     some = np.array([len(t) > 0 for t, _ in rows_of], bool)
     floor = float(toxic[~some].sum() / ((~some).sum() + 1))
     return Model(hashes, idf, ids[some], toxic[some], [r for r, s in zip(rows_of, some, strict=True) if s], floor, k)
