@@ -23,7 +23,6 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set(CHECKPOINT_KEY, base)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
