@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)  # a path without a scheme is the default file system's
+    return str(where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
