@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import storage
-from quern.llm.textcore import text_buffers, unsigned_crc32
+from quern.llm.textcore import text_buffers, trimmed, unsigned_crc32
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -150,7 +150,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             shard.close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return storage.stored(rows.mapInArrow(work, INDEX), "media-index")
+    return storage.stored(rows.mapInArrow(trimmed(work), INDEX), "media-index")
 
 
 class RangeReader:
@@ -176,7 +176,7 @@ def fill_metadata(index: DataFrame) -> DataFrame:
             cols = [pa.array([h[k] for h in heads], pa.int32()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "width", "height", "depth"])
 
-    return index.mapInArrow(work, f"{INDEX}, width int, height int, depth int")
+    return index.mapInArrow(trimmed(work), f"{INDEX}, width int, height int, depth int")
 
 
 def read_back(index: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def read_back(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array(sha), pa.array(crc, pa.int64()), pa.array(size, pa.int64()), pa.array(media), pa.array(feat)], names=names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return fill_metadata(ordered).mapInArrow(work, schema)
+    return fill_metadata(ordered).mapInArrow(trimmed(work), schema)
 
 
 def media_table(docs: DataFrame, **columns) -> DataFrame:

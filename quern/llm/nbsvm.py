@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.textcore import Words, chunks, mix, text_buffers
+from quern.llm.textcore import Words, chunks, mix, text_buffers, trimmed
 
 PLACE_BITS = 18
 MAX_TRAIN = 6000
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_co
                 got += [x.tobytes() for x in indicators(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], names=["doc_id", "label", "places"])
 
-    got = sorted(rows.mapInArrow(work, "doc_id long, label int, places binary").collect())
+    got = sorted(rows.mapInArrow(trimmed(work), "doc_id long, label int, places binary").collect())
     return train([np.frombuffer(r.places, np.int32) for r in got], np.array([r.label == 1 for r in got], bool), c)
 
 
@@ -171,4 +171,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), labelled.held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(work), "doc_id long, held_out boolean, score double, predicted int")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.storage import discard, stored
-from quern.llm.textcore import Words, chunks, mix, text_buffers
+from quern.llm.textcore import Words, chunks, mix, text_buffers, trimmed
 
 SHINGLE = 5
 BUCKET_BITS, ZERO_BITS, MANTISSA_BITS = 8, 6, 10
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 prints = [xxhash.xxh3_128_digest(flat[x:y].tobytes()) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends)), pa.array(prints, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "n_shingles", "fp", "regs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, n_shingles long, fp binary, regs binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(work), "doc_id long, n_shingles long, fp binary, regs binary")
 
 
 def band_values(reps: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def close_pairs(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
                 guess, cells = estimate(a, b, np.array(cols["n_a"]), np.array(cols["n_b"]))
                 yield batch.select(["a", "b"]).filter(pa.array(guess >= t - 5 * np.sqrt(t * (1 - t) / cells)))
 
-    return sized.mapInArrow(work, "a long, b long")
+    return sized.mapInArrow(trimmed(work), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
@@ -206,7 +206,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
                 keep.append(bool(len(p) and len(q)) and 100 * both_of >= threshold * (len(p) + len(q) - both_of))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = stored(both.mapInArrow(work, "a long, b long"), "links")
+    links = stored(both.mapInArrow(trimmed(work), "a long, b long"), "links")
     discard(texts)
     return links
 
@@ -256,7 +256,7 @@ def sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(np.ascontiguousarray(made[:, k])) for k in range(SKETCH_LONGS)]], names=["rep", *(f"s{k}" for k in range(SKETCH_LONGS))])
 
     texts = bitmap_filter(docs, ids, "doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return texts.mapInArrow(work, "rep long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS)))
+    return texts.mapInArrow(trimmed(work), "rep long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS)))
 
 
 def open_pairs(shared: DataFrame, part: DataFrame, docs: DataFrame, threshold: int, twice: DataFrame, tried: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import unsigned_crc32
+from quern.llm.textcore import trimmed, unsigned_crc32
 from quern.llm.tokenization import encoder
 
 BLOCK_TOKENS = 1 << 21
@@ -181,4 +181,4 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
         if packer.out:
             yield rows(packer.take())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(work), SCHEMA)

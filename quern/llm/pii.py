@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.textcore import trimmed
+
 KINDS = ("email", "ip", "card", "phone")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -249,7 +251,7 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, kinds), pa.array(digests, pa.string()), pa.array(listed, pa.string()), pa.array(more, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(work), f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -281,4 +283,4 @@ def redact(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id",
                 batch = batch.set_column(k, batch.schema.field(k), pa.array([None if t is None else len(t) for t in texts]).cast(batch.column(k).type))
             yield batch
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)

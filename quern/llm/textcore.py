@@ -6,12 +6,14 @@ prefix sums, then finished with a mixing step.  Words are maximal runs of bytes
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240611))
 RAW = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,6 +117,20 @@ class Words:
         return self.data[self.start[k] : self.end[k]].tobytes()
 
 
+def trimmed(work):
+    """A worker function that hands freed memory back when its task ends: workers live on, and their peaks would add up."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def unsigned_crc32(part: bytes | memoryview) -> int:
     import zlib
 

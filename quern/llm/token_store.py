@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import storage
-from quern.llm.textcore import unsigned_crc32
+from quern.llm.textcore import trimmed, unsigned_crc32
 from quern.llm.tokenization import encoder
 
 MAGIC = b"DACTOK01"
@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    manifest = storage.stored(ordered.mapInArrow(work, _MANIFEST), "manifest")
+    manifest = storage.stored(ordered.mapInArrow(trimmed(work), _MANIFEST), "manifest")
     totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a task
     before, base = 0, []
     for r in totals:
@@ -210,7 +210,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc, pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("path", "start")
-    return files.repartition(storage.tasks_for(spark, files.count())).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(storage.tasks_for(spark, files.count())).mapInArrow(trimmed(work), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.textcore import WORDY, Words, chunks, text_buffers
+from quern.llm.textcore import WORDY, Words, chunks, text_buffers, trimmed
 
 PREFIXES = (4, 5)
 MAX_TRAIN, NEIGHBOURS, BLOCK = 6000, 15, 32
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int =
                 sets += [np.unique(x).tobytes() for x in np.split(h[order], np.searchsorted(doc[order], np.arange(1, b - a)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["doc_id", "label", "terms"])
 
-    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(work, "doc_id long, label int, terms binary").collect())
+    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(trimmed(work), "doc_id long, label int, terms binary").collect())
     sets = [np.frombuffer(r.terms, np.uint64) for r in got]
     toxic, ids = np.array([r.label == 1 for r in got], bool), np.array([r.doc_id for r in got], np.int64)
     single = distinct_rows(sets)
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "held_out", "score", "predicted", "evidence", "cosines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), labelled.held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
+    return rows.mapInArrow(trimmed(work), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -250,4 +250,4 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str =
             scores, _, _ = _scored(model, batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)

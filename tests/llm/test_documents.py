@@ -160,7 +160,7 @@ def labelled_docs(spark, good, bad, n=400):
 def test_quality(spark):
     d, labels = labelled_docs(spark, lambda r, w: " ".join(w) + ".", lambda r, w: " ".join(x.upper() + "!!" for x in w))
     model = nbsvm.fit(d, labels)
-    d = d.unionAll(docs(spark, [(None, None, 0, None, None), (-1, "", 0, None, None), (-2, "WORD!! " * 20_000, 0, None, None)]))
+    d = d.unionAll(docs(spark, [(None, None, 0, None, None), (-1, "", 0, None, None), (-2, " ".join(f"{chr(65 + k % 26)}{chr(65 + k // 26 % 26)}BC!!" for k in range(20_000)), 0, None, None)]))
     got = {r.doc_id: r for r in nbsvm.score(d, model).collect()}
     right = [got[k].predicted == (k % 3 != 0) for k in range(400) if got[k].held_out]
     assert np.mean(right) > 0.97 and all(0 <= r.score <= 1 for r in got.values()) and got[None].score == got[-1].score and got[-2].predicted == 0
