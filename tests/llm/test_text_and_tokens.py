@@ -126,4 +126,4 @@ def test_packing(spark):
             at += r.length
         assert at <= rows[0].sequence_length <= 256 and (rows[0].sequence_length == 256 or at & (at - 1) == 0)
         padding += rows[0].sequence_length - at
-    assert padding < 3 * 64 and packing.pack(docs.where("false")).collect() == [] and Counter(len(r) for r in sequences.values())
+    assert padding < 3 * 256 and packing.pack(docs.where("false")).collect() == [] and Counter(len(r) for r in sequences.values())
