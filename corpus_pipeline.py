@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import mixing, near_duplicates, packing, pii, toxicity
 from quern.llm.storage import stored
 
+#: Similarity of shingle sets, in hundredths, from which documents are near duplicates (op7 by itself keeps its own 85).
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't mark as toxic."""
@@ -20,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return near_duplicates.survivors(docs, near_duplicates.near_duplicates(docs))
+    """One document of each component of near duplicates: of five-word shingle sets of similarity 0.8 or more."""
+    return near_duplicates.survivors(docs, near_duplicates.near_duplicates(docs, threshold=NEAR))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 A document's set is its distinct runs of five words (A-Z lower-cased; words are runs of bytes other than space and
 0x09-0x0D); with one to four words the whole sequence is its only shingle; without words the set is empty.  Documents
-are linked when 100 |A and B| >= 85 |A or B| on the full sets, and a component is what links connect.
+are linked when 100 |A and B| >= 85 |A or B| on the full sets (``threshold``; the pipeline takes 80), and a component is
+what links connect.
 
 1. One pass makes, per document, the set's size, its 128-bit fingerprint and its HyperMinHash: 256 buckets by the top
    8 bits of a shingle's hash, each keeping of its smallest hash the count of leading zeros (6 bits) and the 10 bits
    after the leading one.
 2. Documents with the same fingerprint have the same set; only one representative of each set goes on.
 3. Registers are cut in bands of six.  Two sets of Jaccard similarity 0.85 share none of 42 bands with a probability
-   of (1 - 0.85^6)^42, below 3e-9.  In each band value that several sets share, the one that meets most
+   of (1 - 0.85^6)^42, below 3e-9 (of 0.80: below 3e-6).  In each band value that several sets share, the one that meets most
    others leads, and the others are held against it: pairs grow with rows, not with their square.
 4. Sets that reach the threshold with a leader are linked; then, in band values whose sets are still in several
    components, the pairs across components that an exact bound leaves possible are held against each other, so a link

@@ -124,3 +124,18 @@ def test_pipeline(spark, sf):
         docs = out
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_links_from_four_fifths(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, want = [], set()
+    for n, stays in ((100, False), (104, False), (108, False), (60, True)):
+        words = [f"w{n}x{k}" for k in range(n)]
+        other = [f"z{k}" if k in (20, n - 20) else w for k, w in enumerate(words)]
+        a, b = shingles(words), shingles(other)
+        assert (len(a & b) / len(a | b) >= 0.8) != stays and len(a & b) / len(a | b) < 0.85
+        rows += [(2 * n, " ".join(words), 0, "a", "b"), (2 * n + 1, " ".join(other), 0, "a", "b")]
+        want |= {2 * n, 2 * n + 1} if stays else {2 * n}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == want
