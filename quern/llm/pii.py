@@ -4,8 +4,11 @@ Patterns give base spans of four kinds: email, ip, card, phone.  The field then
 address-like candidate of a document that has base spans.  Its nodes are base spans and candidates in text order, its
 labels O and the four kinds.  Node potentials are log-linear in a candidate's shape; base spans are observed.  Chain
 edges join neighbours; skip edges join equal or similar nodes (the same case-folded text, the same nine last digits, or
-an address and its own local part) however far apart, one edge to the previous node of the same likeness, so edges grow
-with nodes.  Loopy sum-product messages run until they settle; a candidate whose most likely label is a kind is added.
+an address and its own local part) however far apart: one edge to the previous node of the same likeness and, where
+neither neighbour in that likeness is a base span, one to the nearest base span of it (the last before, else the first
+after).  So edges grow with nodes, and a base span reaches each repeat by itself, however many there are: a run of
+repeats hanging on one edge would rather break it than bear the sum of their bias to O.  As base spans are observed,
+these edges are terms of the repeats' own potentials.  Loopy sum-product messages run until they settle; a candidate whose most likely label is a kind is added.
 Weights are fitted by gradient ascent on the pseudo-likelihood of base labels in a bounded sample of documents
 (``train_docs``, the only bound: every document is scanned and labelled whole).
 
@@ -139,6 +142,19 @@ class Field:
                 last[key] = k
         return np.array(pairs, np.int64).reshape(-1, 2), np.array(weights, float)
 
+    def reach(self, unary: np.ndarray, keys: list[list[str]], kinds: list[int]) -> None:
+        """Adds to ``unary`` the skip edges from nodes to base spans that are no neighbours of theirs in a likeness."""
+        alike: dict[str, list[int]] = {}
+        for i, own in enumerate(keys):
+            for key in dict.fromkeys(own):
+                alike.setdefault(key, []).append(i)
+        for nodes in alike.values():
+            based = [at for at, i in enumerate(nodes) if kinds[i] >= 0]
+            for at, i in enumerate(nodes):
+                k = bisect_left(based, at)
+                if based and kinds[i] < 0 and not any(abs(b - at) == 1 for b in based[max(0, k - 1) : k + 1]):
+                    unary[i, kinds[nodes[based[max(0, k - 1)]]] + 1] += self.skip
+
     def beliefs(self, unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray, rounds: int = 30) -> np.ndarray:
         """Loopy sum-product over Potts edges; rows are log beliefs of nodes."""
         n, m = len(unary), len(pairs)
@@ -182,6 +198,7 @@ class Field:
             else:
                 row[:] = shape(text[a:b]) @ self.node
                 row[0] = max(row[0], row[1:].max() + REFUSED)  # the patterns refused it: shape alone doesn't overrule that
+        self.reach(unary, keys, [k for _, _, k in nodes])
         best = self.beliefs(unary, *self.edges(keys)).argmax(1)
         return [(int(y) - 1, a, b) for y, (a, b, k) in zip(best, nodes, strict=True) if k < 0 and y > 0]
 

@@ -47,6 +47,19 @@ def test_consistency_adds_and_keeps():
     assert field.added("order 12345678901", []) == []
 
 
+@pytest.mark.parametrize("n", [2, 5, 10, 1000])
+def test_one_base_span_reaches_every_repeat(n):
+    between = " several words that say nothing of note lie between, and order 20240102 too, before "
+    fitted = pii.train([f"+1 (743) 555-{k} and order {k * 977} x{k}@y.org" for k in range(1000, 1200)])
+    for field in (pii.Field(), fitted, pii.Field(fitted.node, 0.5, 9.0)):
+        for repeat in ("(743) 555-3824", "743 555 3824"):
+            many = (between + repeat) * n
+            for t in ("Call +1 (743) 555-3824 now." + many, many + between + "+1 (743) 555-3824"):
+                base = pii.base_spans(t)
+                assert len(base) == 1
+                assert [(k, t[a:b]) for k, a, b in field.added(t, base)] == [(3, repeat)] * n
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, p string, text_a string")
 
