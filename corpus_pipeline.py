@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import mixing, near_duplicates, packing, pii, toxicity
-from quern.llm.storage import stored
+from quern.llm.storage import stored, written_place
 
 #: Similarity of shingle sets, in hundredths, from which documents are near duplicates (op7 by itself keeps its own 85).
 NEAR = 80
@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' tokens in windows; one row a piece."""
-    return packing.pack(docs)
+    """All documents' tokens in windows; one row a piece, numbered in the order in which ``docs`` was written."""
+    return packing.pack(docs, place=written_place(docs))
 
 
 STAGES = [

@@ -14,7 +14,9 @@ Defined results: null text is empty (the end id only); rows of equal id are sepa
 a table without rows gives no pieces.  Every id of every row lies in exactly one piece.
 
 At scale: no shuffle; each task packs its own input stream in bounded blocks, and sequence numbers are the task's number
-and a counter.
+and a counter.  Tables whose rows are in an order to keep are packed by ``place``, each row's whole-number place in that
+order: rows of consecutive places are a stream, wherever it is read, and its sequence numbers are the first row's place
+and a counter, so they follow the order whatever files a task reads and in whatever sequence.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.textcore import trimmed, unsigned_crc32
@@ -162,18 +164,29 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Sequence numbers that a row's place leaves for itself: more than a text of 2^31 bytes fills at 128 tokens or more each.
+PLACE_BITS = 24
+
+
+def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", place: Column | None = None) -> DataFrame:
     """All documents packed; one row a piece, ``sequence_length`` being the padded length of its sequence."""
+    placed = [] if place is None else [place.cast("long").alias("place")]
 
     def work(batches):
         enc = encoder(tokenizer)
-        packer = Packer(capacity, TaskContext.get().partitionId() << 36, block_tokens)
+        packer, due = Packer(capacity, TaskContext.get().partitionId() << 36, block_tokens), None
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         rows = lambda got: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], names=names)
         for batch in batches:
             keys = batch.column(0).to_pylist()
+            places = batch.column(2).to_pylist() if batch.num_columns > 2 else None
             for a, ids, ends in enc.encode_column(batch.column(1), end_id):
                 for k in range(len(ends) - 1):
+                    if places:
+                        if places[a + k] != due:
+                            packer.pack(last=True)
+                            packer.next = places[a + k] << PLACE_BITS
+                        due = places[a + k] + 1
                     packer.add(keys[a + k], ids[ends[k] : ends[k + 1]])
                 if len(packer.out) >= 4096:
                     yield rows(packer.take())
@@ -181,4 +194,4 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
         if packer.out:
             yield rows(packer.take())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(work), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *placed).mapInArrow(trimmed(work), SCHEMA)

@@ -9,11 +9,14 @@ executor or a speculative attempt leaves at worst an orphan file, never a half-r
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -54,6 +57,28 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_PART = r"^part-(\d+)-(?:.*-c(\d+)\.)?"
+
+
+def written_place(df: DataFrame) -> Column | None:
+    """Each row's place in the order in which a table that ``df`` reads was written, partition after partition.
+
+    Spark reads files longest first and short ones together, so partitions of a read don't keep that order; the part
+    numbers in file names and the rows' numbers in the files do.  Places of a file are consecutive, those of files apart.
+    None where ``df`` isn't a plain read of Parquet files with part numbers of their own: its partitions are its order.
+    """
+    try:
+        rows = df.select("_metadata.row_index", "_metadata.file_name").agg(F.max("row_index")).first()[0]
+    except AnalysisException:
+        return None
+    found = [re.match(_PART, f.rpartition("/")[2]) for f in df.inputFiles()]
+    numbers = [(int(m[1]), int(m[2] or 0)) for m in found if m]
+    if rows is None or len(numbers) < len(found) or len(set(numbers)) < len(numbers):
+        return None
+    number = lambda group: F.coalesce(F.regexp_extract("_metadata.file_name", _PART, group).try_cast("long"), F.lit(0))
+    return (number(1) * (max(c for _, c in numbers) + 1) + number(2)) * (rows + 1) + F.col("_metadata.row_index")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow file system and the path in it."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm import chat, mixing, vantage
+from quern.llm import chat, mixing, storage, vantage
 
 
 def test_chat_round_trip(spark):
@@ -139,3 +140,33 @@ def test_pipeline_links_from_four_fifths(spark):
         want |= {2 * n, 2 * n + 1} if stays else {2 * n}
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string, lang string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == want
+
+
+def test_packed_sequences_follow_the_schedule(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(4)
+    rows = [(k, "some words " * int(rng.integers(1, 40)), 0, f"s{k % 3}", "b") for k in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string, lang string")
+    order = mixing.mixed(frame, rows_per_partition=200, block_rows=8)
+    # texts grow from part to part, so that a read in the order of sizes turns the schedule round
+    longer = order.withColumn("text", F.expr("repeat(concat_ws(' ', text, sha2(text, 256), doc_id), 1 + 2 * spark_partition_id())"))
+    table = storage.stored(longer, "schedule_test")
+    part = {r.doc_id: r.p for r in order.select("doc_id", F.spark_partition_id().alias("p")).collect()}
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    for cost in ("64m", "1k"):  # files joined in few partitions, and files apart
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        read = [r.doc_id for r in table.select("doc_id").collect()]
+        assert [part[i] for i in read] != sorted(part[i] for i in read)
+        got = corpus_pipeline.pack(spark, table, "").collect()
+        by_sequence = [part[r.doc_id] for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+        assert by_sequence == sorted(by_sequence) and set(by_sequence) == set(range(6))
+        tokens = Counter()
+        for r in got:
+            tokens[r.doc_id] += r.length
+        assert tokens == {r.doc_id: r.doc_tokens for r in got} and len(tokens) == len(rows)
+        slots = Counter()
+        for r in got:
+            slots[r.sequence_id, r.offset] += 1
+        assert set(slots.values()) == {1}
+    spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert storage.written_place(frame) is None and storage.written_place(table.groupBy("doc_id").count()) is None
