@@ -23,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: of five-word shingle sets of similarity 0.8 or more."""
-    return near_duplicates.survivors(docs, near_duplicates.near_duplicates(docs, threshold=NEAR))
+    """One document of each component of near duplicates (five-word shingle sets of similarity 0.8 or more), and one row of whole copies of one id or none."""
+    found = stored(near_duplicates.near_duplicates(docs, threshold=NEAR), "found")
+    return near_duplicates.without_copies(near_duplicates.survivors(docs, found), docs, found)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ what links connect.
    across components have passed the exact bound and are confirmed at once.
 
 Defined results: null or blank text is an empty set, linked with nothing.  Rows of one ``doc_id`` are one document.
-A null ``doc_id`` links with nothing: its component is null and it is kept.  Other columns are not read.
+A null ``doc_id`` links with nothing: its component is null and it is kept (``without_copies`` then drops whole copies
+among repeated rows and rows of null id, as the pipeline does).  Other columns are not read.
 
 At scale: counts and leaders are map-side combined; joins back to members are sort-merge joins that AQE may split;
 components are found by alternating large and small stars over stored edge tables; nothing per document reaches the
@@ -36,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quern.llm.storage import discard, stored
 from quern.llm.textcore import Words, chunks, mix, text_buffers, trimmed
@@ -315,3 +317,48 @@ def survivors(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Data
     marked = bitmap_mark(docs, drop, id_col)
     checked = marked.where("__bm_hit").join(drop.withColumnRenamed("id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
     return marked.where("not __bm_hit").unionByName(checked).drop("__bm_hit")
+
+
+def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__fp``, the fingerprint of the text's shingle set; null for the empty set."""
+    schema = StructType([*docs.schema.fields, StructField("__fp", BinaryType())])
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text_col)))
+            for a, b in chunks(offsets):
+                flat, ends = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                prints = [xxhash.xxh3_128_digest(flat[x:y].tobytes()) if y > x else None for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(trimmed(work), schema)
+
+
+def without_copies(left: DataFrame, docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``left``, the survivors of ``docs``, less whole copies that ids don't tell apart.
+
+    Of the rows of one id and one shingle set, one stays (the smallest by all columns).  A row of null id goes if a row
+    with an id has its set; of rows of null id with one set, one stays.  Blank texts of null id are linked with nothing
+    and stay.  Rows of one id with different sets are one document of several texts, and all stay.
+
+    Only rows of repeated or null ids (and a few whose bit is set by chance) are shuffled, combined in the map first;
+    other rows' sets are made again only where non-blank texts of null id must be held against them.
+    """
+    again = stored(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    nameless = not found.where("doc_id is null and n_shingles > 0").isEmpty()
+    if again.isEmpty() and not nameless:
+        return left
+    ident, names = F.col(id_col), left.columns
+    plain = [c for c in names if left.schema[c].dataType.typeName() not in ("map", "variant")]
+    marked = bitmap_mark(left, again, id_col)
+    some = fingerprinted(marked.where(F.col("__bm_hit") | ident.isNull()).drop("__bm_hit"), text_col)
+    whole = lambda cols: F.struct(*[F.col(f"`{c}`") for c in cols])
+    one = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(whole(names), whole(plain)).alias("row"))
+    out = marked.where(~F.col("__bm_hit") & ident.isNotNull()).drop("__bm_hit")
+    out = out.unionByName(one(some.where(ident.isNotNull()), id_col, "__fp").select("row.*"))
+    bare = some.where(ident.isNull())
+    out = out.unionByName(bare.where("__fp is null").drop("__fp"))
+    if nameless:
+        known = fingerprinted(docs.where(ident.isNotNull()).select(F.col(text_col)), text_col).select("__fp").where("__fp is not null").distinct()
+        out = out.unionByName(one(bare.where("__fp is not null"), "__fp").join(known, "__fp", "left_anti").select("row.*"))
+    return out

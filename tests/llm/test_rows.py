@@ -170,3 +170,17 @@ def test_packed_sequences_follow_the_schedule(spark):
         assert set(slots.values()) == {1}
     spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert storage.written_place(frame) is None and storage.written_place(table.groupBy("doc_id").count()) is None
+
+
+def test_pipeline_leaves_one_row_of_whole_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(1), "a"), (1, text(1), "a"), (1, text(1), "b"), (1, text(2), "a"), (2, text(3), "a"), (3, text(3), "a"), (3, text(3), "a")]
+    rows += [(None, text(1), "a"), (None, text(3), "a"), (None, text(4), "b"), (None, text(4).upper(), "a"), (None, " ", "a"), (None, None, "a"), (5, "", "a"), (5, "", "a"), (6, text(6), "a")]
+    shape = "doc_id long, text string, source string"
+    want = [(1, text(1), "a"), (1, text(2), "a"), (2, text(3), "a"), (None, text(4).upper(), "a"), (None, " ", "a"), (None, None, "a"), (5, "", "a"), (6, text(6), "a")]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, shape), "")
+    assert left.columns == ["doc_id", "text", "source"] and sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    # repeats, but no null id
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows[:7], shape), "")
+    assert sorted(map(tuple, left.collect())) == sorted(want[:3])
