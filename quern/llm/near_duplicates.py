@@ -185,32 +185,81 @@ def close_pairs(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     return sized.mapInArrow(trimmed(work), "a long, b long")
 
 
+#: A leader with more pairs than this is split; the table of such leaders never has more rows than ``MOST_HEAVY``.
+LEADER_PAIRS, MOST_HEAVY = 1024, 1 << 20
+
+
+def led(pairs: DataFrame) -> DataFrame:
+    """(leader, salt, member): the end on more pairs leads, and its pairs are parted so that no (leader, salt) has many.
+
+    Ends on more than ``LEADER_PAIRS`` pairs (or on more than one in 2^19 of all, if that is more) are counted with
+    partial sums; at most 2^20 ids can be that common, so their table is broadcast whatever the data.
+    """
+    cut = max(LEADER_PAIRS, math.ceil(2 * pairs.count() / MOST_HEAVY))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > cut)
+    heavy = stored(degree, "heavy")
+    for end in ("a", "b"):
+        pairs = pairs.join(F.broadcast(heavy.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))), end, "left")
+    n_a, n_b = F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))
+    first, most = F.struct(n_a, F.col("a")) >= F.struct(n_b, F.col("b")), F.greatest(n_a, n_b)
+    pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest(F.lit(1), F.ceil(most / LEADER_PAIRS)).alias("parts"))
+    return pairs.select("leader", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("salt"), "member")
+
+
+class Leader:
+    """The sets of the leader whose members are passing by."""
+
+    def __init__(self):
+        self.key, self.sets = None, {}
+
+    def add(self, key: tuple[int, int], shingles: np.ndarray) -> None:
+        if key != self.key:
+            self.key, self.sets = key, {}
+        if len(shingles):
+            self.sets[xxhash.xxh3_128_digest(shingles.tobytes())] = shingles.copy()
+
+    def reached(self, key: tuple[int, int], flat: np.ndarray, ends: np.ndarray, threshold: int) -> np.ndarray:
+        """Which of the members' sets, one after another in ``flat``, reach the threshold with one of the leader's."""
+        sizes, hit = np.diff(ends), np.zeros(len(ends) - 1, bool)
+        for p in self.sets.values() if key == self.key else ():
+            at = np.minimum(np.searchsorted(p, flat), len(p) - 1)
+            both = np.diff(np.concatenate(([0], np.cumsum(p[at] == flat)))[ends])
+            hit |= (sizes > 0) & (100 * both >= threshold * (len(p) + sizes - both))
+        return hit
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold; ``docs`` is (doc_id, text)."""
+    """Pairs (a, b) whose full sets reach the threshold; ``docs`` is (doc_id, text).
+
+    A leader's text travels once per part of its pairs, ahead of its members' texts, which stream past it: a worker
+    holds the leader's set and one chunk of members, however many there are.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(bitmap_filter(docs, ids, "doc_id"), "texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    # the few leaders stand on many pairs: the member's text comes first, then rows are sorted by the leader
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    parted = stored(led(pairs), "led")
+    heads = parted.select("leader", "salt", F.col("leader").alias("doc_id"), F.lit(0).alias("kind")).distinct()
+    rows = heads.unionAll(parted.select("leader", "salt", F.col("member").alias("doc_id"), F.lit(1).alias("kind"))).join(bitmap_filter(docs, ids, "doc_id"), "doc_id")
+    rows = rows.select("leader", "salt", "kind", "doc_id", "text").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
 
     def work(batches):
+        lead = Leader()
         for batch in batches:
-            sets = []
-            for c in ("text_a", "text_b"):
-                data, offsets = text_buffers(batch.column(c))
-                got = []
-                for x, y in chunks(offsets):
-                    flat, ends = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
-                    got += np.split(flat, ends[1:-1])
-                sets.append(got)
-            keep = []
-            for p, q in zip(*sets, strict=True):
-                both_of = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(bool(len(p) and len(q)) and 100 * both_of >= threshold * (len(p) + len(q) - both_of))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = stored(both.mapInArrow(trimmed(work), "a long, b long"), "links")
-    discard(texts)
+            leader, salt, kind = (batch.column(k).to_numpy() for k in range(3))
+            turn = np.flatnonzero((np.diff(leader) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1
+            keep = np.zeros(len(leader), bool)
+            data, offsets = text_buffers(batch.column(4))
+            for x, y in zip([0, *turn.tolist()], [*turn.tolist(), len(leader)], strict=True):
+                for a, b in chunks(offsets[x : y + 1]) if y > x else ():
+                    a, b, key = a + x, b + x, (int(leader[x]), int(salt[x]))
+                    flat, ends = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    if kind[x]:
+                        keep[a:b] = lead.reached(key, flat, ends, threshold)
+                    else:
+                        for k in range(b - a):
+                            lead.add(key, flat[ends[k] : ends[k + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(keep))
+
+    links = stored(rows.mapInArrow(trimmed(work), "a long, b long"), "links")
+    discard(parted)
     return links
 
 
