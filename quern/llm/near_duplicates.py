@@ -23,8 +23,8 @@ Defined results: null or blank text is an empty set, linked with nothing.  Rows
 A null ``doc_id`` links with nothing: its component is null and it is kept (``without_copies`` then drops whole copies
 among repeated rows and rows of null id, as the pipeline does).  Other columns are not read.
 
-At scale: counts and leaders are map-side combined; joins back to members are sort-merge joins that AQE may split;
-components are found by alternating large and small stars over stored edge tables; nothing per document reaches the
+At scale: counts and leaders are map-side combined; joins of ids back to members are sort-merge joins that AQE may split;
+texts are confirmed in streams of bounded size, a leader of many pairs in many streams; components are found by alternating large and small stars over stored edge tables; nothing per document reaches the
 driver.  Texts of documents in no candidate pair are dropped before their shuffle by a bitmap of bounded size.
 """
 
@@ -185,21 +185,24 @@ def close_pairs(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     return sized.mapInArrow(trimmed(work), "a long, b long")
 
 
-#: A leader with more pairs than this is split; the table of such leaders never has more rows than ``MOST_HEAVY``.
-LEADER_PAIRS, MOST_HEAVY = 1024, 1 << 20
+#: A leader with more pairs, or a band value with more open sets, is split; tables of such keys have at most ``MOST_HEAVY`` rows.
+LEADER_PAIRS, OPEN_SETS, MOST_HEAVY = 1024, 2048, 1 << 20
 
 
-def led(pairs: DataFrame) -> DataFrame:
-    """(leader, salt, member): the end on more pairs leads, and its pairs are parted so that no (leader, salt) has many.
+def heavy(counts: DataFrame, total: int, most: int) -> DataFrame:
+    """Of a table (.., n) of how often each key stands in ``total`` rows, the keys above ``most``, for a broadcast.
 
-    Ends on more than ``LEADER_PAIRS`` pairs (or on more than one in 2^19 of all, if that is more) are counted with
-    partial sums; at most 2^20 ids can be that common, so their table is broadcast whatever the data.
+    Where ``most`` would leave more than 2^20 keys the cut is higher, so the table is small whatever the data.
     """
-    cut = max(LEADER_PAIRS, math.ceil(2 * pairs.count() / MOST_HEAVY))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > cut)
-    heavy = stored(degree, "heavy")
+    return stored(counts.where(F.col("n") > max(most, math.ceil(total / MOST_HEAVY))), "heavy")
+
+
+def led(pairs: DataFrame) -> DataFrame:
+    """(leader, salt, member): the end on more pairs leads, and its pairs are parted so that no (leader, salt) has many."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    common = heavy(degree, 2 * pairs.count(), LEADER_PAIRS)
     for end in ("a", "b"):
-        pairs = pairs.join(F.broadcast(heavy.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))), end, "left")
+        pairs = pairs.join(F.broadcast(common.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))), end, "left")
     n_a, n_b = F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))
     first, most = F.struct(n_a, F.col("a")) >= F.struct(n_b, F.col("b")), F.greatest(n_a, n_b)
     pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest(F.lit(1), F.ceil(most / LEADER_PAIRS)).alias("parts"))
@@ -316,18 +319,20 @@ def open_pairs(shared: DataFrame, part: DataFrame, docs: DataFrame, threshold: i
 
     With d the ones in the exclusive or of two odd sketches, the sets differ in d shingles at least, so their similarity
     is at most (|A| + |B| - d) / (|A| + |B| + d).  Texts altered beyond the threshold are ruled out inside the join, and
-    no true link is.  Documents of several texts have no one sketch and are always held against each other.
+    no true link is.  Documents of several texts have no one sketch and are always held against each other.  One side of a
+    band value with many open sets is parted, so its comparisons are many tasks' work.
     """
     placed = stored(shared.where("size > 2").join(part, shared["rep"] == part["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_sets = stored(placed.join(split, "key"), "open")
     made = sketches(open_sets.select(F.col("rep").alias("id")).distinct(), docs).join(twice.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
-    rows = open_sets.join(made, "rep", "left")
-    x, y = rows.alias("x"), rows.alias("y")
+    common = heavy(open_sets.groupBy("key").agg(F.count("*").alias("n")), open_sets.count(), OPEN_SETS).select("key", F.ceil(F.col("n") / OPEN_SETS).alias("parts"))
+    rows = open_sets.join(made, "rep", "left").join(F.broadcast(common), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x, y = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), "parts")).alias("x"), rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
     differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(SKETCH_LONGS))
     # threshold: 100 (m - d) >= t (m + d) for m = |A| + |B|; a missing sketch rules nothing out
     may = f"coalesce({100 - threshold} * (x.n + y.n) >= {100 + threshold} * ({differ}), true)"
-    pairs = x.join(y, F.expr(f"x.key = y.key and x.component < y.component and {may}")).select(*_pair(F.col("x.rep"), F.col("y.rep"))).distinct()
+    pairs = x.join(y, F.expr(f"x.key = y.key and x.salt = y.salt and x.component < y.component and {may}")).select(*_pair(F.col("x.rep"), F.col("y.rep"))).distinct()
     across = stored(pairs.join(tried, ["a", "b"], "left_anti"), "across")
     discard(placed, open_sets)
     return across

@@ -149,6 +149,49 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(d.where("false")).collect() == []
 
 
+def test_hot_leaders_and_families_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "LEADER_PAIRS", 4)
+    monkeypatch.setattr(near_duplicates, "OPEN_SETS", 3)
+    rng = random.Random(11)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(150))
+    rows = [(k, family(rng, base, 2 + k % 5)) for k in range(60)] + [(100, base)]
+    parted = near_duplicates.led(spark.createDataFrame([(100, k) for k in range(60)] + [(1, 2)], "a long, b long")).collect()
+    assert sorted((r.leader, r.member) for r in parted if r.leader == 100) == [(100, k) for k in range(60)]
+    assert len({r.salt for r in parted if r.leader == 100}) > 5 and len(parted) == 61
+    want, _ = components_by_brute_force(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, [(i, t, 0, "a", "b") for i, t in rows])).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_duplicates_of_the_given_documents(spark, threshold):
+    """Every component of a whole table against all pairs that share a shingle."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    holders, sets = defaultdict(list), {}
+    for r in d.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        for x in sets[r.doc_id]:
+            holders[x].append(r.doc_id)
+    common = defaultdict(int)
+    for ids in holders.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                common[b, a] += 1
+    low = {i: i for i in sets}
+
+    def find(i):
+        return i if low[i] == i else find(low[i])
+
+    for (a, b), n in common.items():
+        if 100 * n >= threshold * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            low[y] = x
+    got = near_duplicates.near_duplicates(d, threshold=threshold).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert sum(not r.kept for r in got) > 50
+
+
 def test_estimates():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.85, 1.0):
