@@ -68,7 +68,7 @@ def name_filter(spec: NameFilter) -> Callable[[str], bool]:
 
 
 def renamer(spec: None | str | Callable[[str], str] | Mapping[str, str] | Iterable[Any]) -> Callable[[str], str]:
-    """A renaming: None, ``/from/to/flags`` (a regular expression), a mapping, a callable, or a list whose first applicable rule counts."""
+    """A renaming: None, ``/from/to/flags`` or ``s/from/to/flags`` (a regular expression), a mapping, a callable, or a list whose first applicable rule counts."""
     rules = [spec] if isinstance(spec, str) or callable(spec) or isinstance(spec, Mapping) or spec is None else list(spec)
     steps: list[Callable[[str], str]] = []
     for rule in rules:
@@ -78,9 +78,11 @@ def renamer(spec: None | str | Callable[[str], str] | Mapping[str, str] | Iterab
             steps.append(lambda name, m=dict(rule): m.get(name, name))
         elif callable(rule):
             steps.append(rule)
-        elif isinstance(rule, str) and (m := re.fullmatch(r"/((?:[^/\\]|\\.)*)/((?:[^/\\]|\\.)*)/([a-z]*)", rule)):
+        elif isinstance(rule, str) and (m := re.fullmatch(r"s?/((?:[^/\\]|\\.)*)/((?:[^/\\]|\\.)*)/([a-z]*)", rule)):
             flags = 0
             for c in m[3]:
+                if c not in _FLAGS:
+                    raise ValueError(f"unknown flag {c!r} in {rule!r}; flags are {''.join(_FLAGS)}")
                 flags |= _FLAGS[c]
             steps.append(lambda name, p=re.compile(m[1], flags), to=m[2]: p.sub(to, name))
         else:

@@ -283,14 +283,16 @@ def floating_ceil(x: Column) -> Column:
 
 
 def lgamma(x: Column) -> Column:
-    """Six-term Lanczos series for ln gamma, as the language's function table defines it."""
-    # The coefficients of the six-term series (g = 5), as published with it.
-    terms = (76.18009172947146, -86.50532032941677, 24.01409824083091, -1.231739572450155, 0.1208650973866179e-2, -0.5395239384953e-5)
-    shifted = x + 5.5
-    total = F.lit(1.000000000190015)
-    for k, c in enumerate(terms, 1):
-        total = total + _safe_ratio(F.lit(c), x + k)
-    return -(shifted - (x + 0.5) * safe_log(shifted)) + safe_log(_safe_ratio(total * F.lit(2.5066282746310005), x))
+    """The language's own six-term series for ln gamma: good to about 1e-8 for positive numbers, NaN where the sum is negative."""
+    # The series' coefficients and the root of 2 pi, as the function table has them.
+    terms, root = (76.18009173, -86.50532033, 24.01409822, -1.231739516e0, 0.120858003e-2, -0.536382e-5), 2.50662827465
+    pole = (x <= 0) & (x > -len(terms)) & (x == F.rint(x))  # a term divides by zero there, with its own sign
+    at = F.when(~pole, x)
+    total = F.lit(1.0)
+    for k, c in enumerate(terms):
+        total = total + F.lit(c) / (at + k)
+    value = (at - 0.5) * safe_log(at + 4.5) - (at + 4.5) + safe_log(F.lit(root) * total)
+    return F.when(pole, F.when(x.cast("int") % 2 == 0, F.lit(INF)).otherwise(nan())).otherwise(value)
 
 
 def _safe_ratio(a: Column, b: Column) -> Column:

@@ -51,9 +51,10 @@ def unzigzag(code: Column) -> Column:
 
 
 def undelta(deltas: Column) -> Column:
-    """Running sums of a list of differences."""
-    first = F.slice(F.transform(deltas, lambda d: d.cast("bigint")), 1, 1)
-    return F.aggregate(F.slice(deltas, F.lit(2), F.greatest(F.size(deltas) - 1, F.lit(0))), first, lambda s, d: F.array_append(s, F.element_at(s, -1) + d.cast("bigint")))
+    """Running sums of a list of differences, by doubling strides: n log n steps."""
+    whole = F.transform(deltas, lambda d: d.cast("bigint"))
+    strides = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda d: d < F.size(deltas))
+    return F.aggregate(strides, whole, lambda s, d: F.transform(s, lambda x, i: x + F.coalesce(F.get(s, i - d), F.lit(0).cast("bigint"))))
 
 
 def symmetric(packed: Column, n: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from quern.functions.filters import KeyInTableError, NameFilter, is_pattern, mem
 from quern.operators import nested
 from quern.plans.language import Compiler, ExpressionError, Value, field_type, masked, quoted, value_of
 from quern.sources import files
+from quern.sources.shared import stored_at
 
 ENTRY = "_entry"
 HIDDEN = (files.FILE, files.ROW, ENTRY)
@@ -61,19 +63,32 @@ class Tree:
     shuffle and per-partition counts.
     """
 
-    def __init__(self, rows: DataFrame, name: str = "", aliases: Mapping[str, str] | None = None, functions: Mapping | None = None, path: str | None = None, order_by: list[str] | None = None, entries: int | None = None):
+    def __init__(self, rows: DataFrame, name: str = "", aliases: Mapping[str, str] | None = None, functions: Mapping | None = None, path: str | list[str] | None = None, order_by: list[str] | None = None, entries: int | None = None):
         self.rows, self.name, self.aliases, self.path = rows, name, dict(aliases or {}), path
         self.functions = {**numeric.FUNCTIONS, **(functions or {})}
         self.spark: SparkSession = rows.sparkSession
         self.order_by = order_by
         self._counts: list[tuple[str, int]] | None = None
         self._entries = entries
+        self._footers: list[files.Footer] | None = None
         self.access_log: list[str] = []
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options: Any) -> Tree:
         return cls(files.read_entries(spark, path), name=path.rstrip("/").rpartition("/")[2].removesuffix(".parquet"), path=path, **options)
 
+    @classmethod
+    def open_many(cls, spark: SparkSession, paths: list[str], **options: Any) -> Tree:
+        """Many files of the first one's columns as one scan, their entries counted in the order given."""
+        rows = files.read_entries(spark, paths, spark.read.parquet(paths[0]).schema)
+        out = cls(rows, path=paths, **options)
+        lacking = [(f.file, c) for f in out.footers() for c in out.schema.names if c not in f.names]
+        if lacking:
+            raise KeyInTableError(lacking[0][1], [n for f in out.footers() if f.file == lacking[0][0] for n in f.names])
+        at = {f.file: k for k, f in enumerate(out.footers())}
+        out._counts = [(f, n) for f, n in sorted(((f.file, f.rows) for f in out.footers()), key=lambda x: at[x[0]])]
+        return out
+
     # ---- catalogue
 
     @property
@@ -195,7 +210,13 @@ class Tree:
             return self.rows.where(keep if len(self.counts) == 1 else (F.col(files.FILE) == path) & keep)
         edges = [c for c in clipped if (c[1], c[2]) != (0, c[3])]
         inner = [c[0] for c in clipped if (c[1], c[2]) == (0, c[3])]
-        keep = F.col(files.FILE).isin(inner) if inner else F.lit(False)
+        if len(inner) > files.INLINE_FILES and self.counts == sorted(self.counts):
+            keep = F.col(files.FILE).between(inner[0], inner[-1])  # files between two others in the order of names
+        elif len(inner) > files.INLINE_FILES:
+            chosen = self.spark.createDataFrame([(c[0], c[1], c[2]) for c in clipped], f"{files.FILE} string, __low long, __high long")
+            return self.rows.join(F.broadcast(chosen), files.FILE).where((F.col(files.ROW) >= F.col("__low")) & (F.col(files.ROW) < F.col("__high"))).drop("__low", "__high")
+        else:
+            keep = F.col(files.FILE).isin(inner) if inner else F.lit(False)
         for path, low, high, _ in edges:
             keep = keep | (F.col(files.FILE) == path) & F.col(files.ROW).between(low, high - 1)
         return self.rows.where(keep)
@@ -204,20 +225,20 @@ class Tree:
 
     def column_bytes(self, expressions: Any = None, compressed: bool = False, **filters: Any) -> int:
         """Bytes of the columns that a query reads, from the files' footers."""
-        import pyarrow.parquet as pq
-
         if self.path is None:
             raise TypeError("only tables of files have sizes")
         wanted = self._read_columns(expressions, **filters)
-        total = 0
-        for part in files.part_files(self.spark, self.path):
-            meta = pq.ParquetFile(re.sub("^file:/+", "/", part)).metadata
-            for g in range(meta.num_row_groups):
-                for c in range(meta.num_columns):
-                    col = meta.row_group(g).column(c)
-                    if col.path_in_schema.split(".")[0] in wanted:
-                        total += col.total_compressed_size if compressed else col.total_uncompressed_size
-        return total
+        return sum(c.compressed if compressed else c.uncompressed for f in self.footers() for g in f.groups for c in g.chunks if c.name in wanted)
+
+    def footers(self) -> list[files.Footer]:
+        """What the files' footers say of rows, row groups and chunks of columns; read once."""
+        if self._footers is None:
+            self._footers = files.footers(self.spark, [p for one in self.paths for p in files.part_files(self.spark, one)])
+        return self._footers
+
+    @property
+    def paths(self) -> list[str]:
+        return [] if self.path is None else [self.path] if isinstance(self.path, str) else list(self.path)
 
     def _read_columns(self, expressions: Any, **filters: Any) -> set[str]:
         compiler = Compiler(self.schema, self.aliases, self.functions)
@@ -246,15 +267,10 @@ class Tree:
         return max(1, round(target * self.num_entries / max(1, self.column_bytes(expressions, **filters))))
 
     def common_entry_offsets(self, **filters: Any) -> list[int]:
-        """Entries at which all selected columns start a chunk: the row groups' ends."""
-        import pyarrow.parquet as pq
-
-        out = [0]
-        for part in files.part_files(self.spark, self.path) if self.path else []:
-            meta = pq.ParquetFile(re.sub("^file:/+", "/", part)).metadata
-            for g in range(meta.num_row_groups):
-                out.append(out[-1] + meta.row_group(g).num_rows)
-        return out
+        """Entries at which all selected columns start a chunk: the row groups' ends; none without a selected column."""
+        if not self.keys(**filters):
+            return []
+        return list(itertools.accumulate((g.rows for f in self.footers() for g in f.groups), initial=0))
 
     # ---- queries
 
@@ -350,29 +366,47 @@ class Tree:
                 yield (out, Report(start - at, stop - at, start, stop, path or None)) if report else out
             at += n
 
-    def batches(self, step_size: int) -> DataFrame:
-        """All batches at once: the rows with ``_batch_file`` and ``_batch``, numbers of file and step; no shuffle."""
-        rows = self.rows.select("*")
+    def batches(self, step_size: int | str, expressions: Any = None, cut: str | None = None, **options: Any) -> DataFrame:
+        """All batches at once: a query's rows with ``_batch_file`` and ``_batch``, numbers of file and step.
+
+        One pass whatever the number of batches, and no shuffle; a batch's size counts rows before the cut.
+        """
+        if isinstance(step_size, str):
+            step_size = self.num_entries_for(step_size, expressions, **{k: v for k, v in options.items() if k.startswith("filter_")})
+        numbered = self._batched(step_size)
+        if expressions is None and cut is None and not options:
+            return numbered
+        compiler, outputs = self.plan(expressions, **options)
+        if cut is not None:
+            test = compiler.compile(cut)
+            if test.depth:
+                raise ExpressionError("batches take a flat cut")
+            numbered = numbered.where(numeric.truth(test.typed))
+        return numbered.select("_batch_file", "_batch", *[v.col.alias(k) for k, v in outputs])
+
+    def _batched(self, step_size: int) -> DataFrame:
+        rows = self.rows
         if files.FILE not in rows.columns:
             return self.entries().withColumns({"_batch_file": F.lit(0), "_batch": F.floor(F.col(ENTRY) / step_size)}).drop(ENTRY)
+        if len(self.counts) > files.INLINE_FILES:
+            table = self.spark.createDataFrame([(p, k) for k, (p, _) in enumerate(self.counts)], f"{files.FILE} string, _batch_file int")
+            rows = rows.join(F.broadcast(table), files.FILE)
+            return rows.withColumn("_batch", F.floor(F.col(files.ROW) / step_size)).drop(files.FILE, files.ROW)
         order = F.array_position(F.array(*[F.lit(p) for p, _ in self.counts]), F.col(files.FILE)) - 1
         return rows.withColumns({"_batch_file": order.cast("int"), "_batch": F.floor(F.col(files.ROW) / step_size)}).drop(files.FILE, files.ROW)
 
 
 def number_rows(rows: DataFrame, order_by: list[str], name: str = ENTRY) -> DataFrame:
-    """Numbers rows from 0 in the order of columns (all columns break ties): a range shuffle, then one count per partition."""
-    keys = [*order_by, *[c for c in rows.columns if c not in order_by and not isinstance(rows.schema[c].dataType, T.MapType)]]
-    ordered = rows.repartitionByRange(*[F.col(f"`{k}`").asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`").asc_nulls_first() for k in keys])
-    tagged = ordered.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = sorted((r["__part"], r.n) for r in tagged.groupBy("__part").agg(F.count("*").alias("n")).collect())
-    offset, at = {}, 0
-    for part, n in sizes:
-        offset[part] = at
-        at += n
-    if not offset:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    base = F.element_at(F.create_map(*[F.lit(x) for pair in offset.items() for x in pair]), F.col("__part"))
-    return tagged.withColumn(name, base + F.col("__at")).drop("__part", "__at")
+    """Numbers rows from 0 in the order of columns (all columns break ties).
+
+    The rows are written once, sorted, after one range shuffle; their numbers are offsets of the written parts and row
+    numbers in them.  Nothing is sorted again by a later job, whose sampled ranges could be others.
+    """
+    keys = [*order_by, *[c for c in rows.columns if c not in order_by and not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]]
+    order = [F.col(quoted([k])).asc_nulls_first() for k in keys]
+    place = stored_at(rows.repartitionByRange(*order).sortWithinPartitions(*order), "numbered")
+    parts = files.read_entries(rows.sparkSession, place, rows.schema)
+    return files.with_entries(parts, files.file_counts(parts), name=name).drop(files.FILE, files.ROW)
 
 
 def group_cases(schema: T.StructType, keys: list[str]) -> list[str]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +10,11 @@ from pyspark.sql import functions as F
 from quern.functions import packed
 from quern.functions.filters import renamer
 from quern.operators import graph, nested
-from quern.operators.histogram import Axis, bin_columns, dense_frame, fill_frame, profile_columns, profile_frame, statistics
+from quern.operators.histogram import Axis, dense_frame, fill_frame, profile_columns, profile_frame, statistics
 from quern.operators.tree import Tree, number_rows
 from quern.sources import session
 from quern.sources.catalog import Catalog
+from quern.sources.shared import new_folder
 from quern.streaming import steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +37,8 @@ def tree(spark: SparkSession, sf_dir: str, name: str, **options) -> Tree:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder of its own that all executors see: below the checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    return f"{base.rstrip('/')}/quern/{uuid.uuid4().hex}"
+    """A folder of its own that all executors see."""
+    return new_folder(spark, "query")
 
 
 def named(rows: DataFrame, *names: str) -> DataFrame:
@@ -112,11 +110,11 @@ def rounding(spark, sf_dir):
 
 # Fixed values in the SQL: the language's own polynomials for erf and ln gamma.
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_discount AS x, 1.0 / (1.0 + 0.3275911 * l_discount) AS t, CAST(l_linenumber AS DOUBLE) AS n FROM lineitem),
-g AS (SELECT *, 1.000000000190015 + 76.18009172947146 / (n + 2) - 86.50532032941677 / (n + 3) + 24.01409824083091 / (n + 4) - 1.231739572450155 / (n + 5)
-  + 0.001208650973866179 / (n + 6) - 0.000005395239384953 / (n + 7) AS s FROM v)
+g AS (SELECT *, 1.0 + 76.18009173 / (n + 1) - 86.50532033 / (n + 2) + 24.01409822 / (n + 3) - 1.231739516 / (n + 4)
+  + 0.00120858003 / (n + 5) - 0.00000536382 / (n + 6) AS s FROM v)
 SELECT l_orderkey, l_linenumber,
   round(1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x), 6) AS erf_,
-  round_even(exp(-(n + 6.5 - (n + 1.5) * ln(n + 6.5)) + ln(2.5066282746310005 * s / (n + 1))), 0) AS fact FROM g""")
+  round_even(exp((n + 0.5) * ln(n + 5.5) - (n + 5.5) + ln(2.50662827465 * s)), 0) AS fact FROM g""")
 def special_functions(spark, sf_dir):
     out = named(tree(spark, sf_dir, "lineitem").arrays(["l_orderkey", "l_linenumber", "erf(l_discount)", "factorial(l_linenumber)"]), "l_orderkey", "l_linenumber", "erf_", "fact")
     return out.withColumn("erf_", F.round("erf_", 6))
@@ -194,11 +192,7 @@ def batches(spark, sf_dir):
 
 @query("""SELECT CAST(e // 20000 AS BIGINT) AS batch, count(*) FILTER (WHERE l_quantity > 25) AS n FROM (SELECT l_quantity, row_number() OVER () - 1 AS e FROM lineitem) GROUP BY 1""")
 def iterate_with_cut(spark, sf_dir):
-    parts = [b.agg(F.count("*").alias("n")).select(F.lit(i).cast("long").alias("batch"), "n") for i, b in enumerate(tree(spark, sf_dir, "lineitem").iterate(["l_quantity"], "l_quantity > 25", step_size=20000))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return tree(spark, sf_dir, "lineitem").batches(20000, ["l_quantity"], "l_quantity > 25").groupBy(F.col("_batch").alias("batch")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT s_suppkey AS k, row_number() OVER () - 1 AS e FROM supplier), n AS (SELECT count(*) AS n FROM supplier)
@@ -291,10 +285,12 @@ def map_lookup(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", nested.map_get(table, F.col("o_orderstatus"), F.lit("other")).alias("said"))
 
 
-@query("""SELECT o_orderkey, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS t FROM orders""")
+@query("""SELECT o_orderkey, CAST((year(o_orderdate) - 1995) * 67108864 + month(o_orderdate) * 4194304 + day(o_orderdate) * 131072 + hour(o_orderdate) * 4096
+  + minute(o_orderdate) * 64 + second(o_orderdate) AS BIGINT) AS code, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS t FROM orders WHERE year(o_orderdate) >= 1995""")
 def packed_datime(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.where("year(o_orderdate) >= 1995").select("o_orderkey", packed.unpack_datime(packed.pack_datime(F.col("o_orderdate"))).alias("t")).unionAll(o.where("year(o_orderdate) < 1995").select("o_orderkey", F.date_trunc("second", "o_orderdate").cast("timestamp_ntz")))
+    """Orders of the years that the packed form holds: their codes and what the codes read as."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("year(o_orderdate) >= 1995")
+    return o.select("o_orderkey", packed.pack_datime(F.col("o_orderdate")).alias("code")).withColumn("t", packed.unpack_datime(F.col("code")))
 
 
 # ---- histograms, profiles, graphs
@@ -439,9 +435,12 @@ def stream_select(spark, sf_dir):
 
 @query("""SELECT CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 11 ELSE CAST(floor(value / 10) AS INTEGER) + 1 END AS ix, count(*) AS entries FROM events GROUP BY 1""")
 def batch_histogram_of_events(spark, sf_dir):
-    axis = Axis.regular(10, 0.0, 100.0)
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(*bin_columns([axis], [F.col("value")])).groupBy("ix").agg(F.count("*").alias("entries"))
+    """Events as a stream into running cells; each micro-batch writes the cells it changed, and the last of each counts."""
+    axis, out = Axis.regular(10, 0.0, 100.0), scratch(spark)
+    stream = steps.read(spark, f"{sf_dir}/events.parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+    cells = steps.histogram(stream, [axis], [F.col("value")])
+    steps.cells_to(cells, f"{out}/cells", f"{out}/log").awaitTermination()
+    return steps.last_cells(spark, f"{out}/cells", cells.schema).select("ix", "entries")
 
 
 def queries() -> dict[str, Query]:

@@ -8,10 +8,14 @@ metadata-only count per file.
 from __future__ import annotations
 
 import fnmatch
+import json
 import re
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from pathlib import Path, PurePath
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,8 +127,80 @@ def part_files_present(spark: SparkSession, path: str) -> bool:
     return any(s.isFile() and not fnmatch.fnmatch(str(s.getPath().getName()), "[._]*") for s in fs.listStatus(jpath))
 
 
-def read_entries(spark: SparkSession, path: str, schema=None, format: str = "parquet") -> DataFrame:
-    """A file or table folder with its hidden position columns."""
+@dataclass(frozen=True)
+class Chunk:
+    name: str
+    compressed: int
+    uncompressed: int
+
+
+@dataclass(frozen=True)
+class Group:
+    rows: int
+    chunks: list[Chunk]
+
+
+@dataclass(frozen=True)
+class Footer:
+    """One Parquet file: its URI as the scan's ``_metadata.file_path`` has it, top-level columns and row groups."""
+
+    file: str
+    names: list[str]
+    groups: list[Group]
+
+    @property
+    def rows(self) -> int:
+        return sum(g.rows for g in self.groups)
+
+
+#: Schemes whose footers executors can read by themselves.
+ARROW_SCHEMES = ("file", "hdfs", "s3", "gs")
+
+
+def _jvm_footer(spark: SparkSession, path: str) -> Footer:
+    """A footer by Hadoop's file systems: any scheme that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs, where = hadoop_path(spark, path)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf))
+    try:
+        meta = reader.getFooter()
+        names = [f.getName() for f in meta.getFileMetaData().getSchema().getFields()]
+        groups = [Group(b.getRowCount(), [Chunk(c.getPath().toArray()[0], c.getTotalSize(), c.getTotalUncompressedSize()) for c in b.getColumns()]) for b in meta.getBlocks()]
+    finally:
+        reader.close()
+    return Footer(str(fs.makeQualified(where).toUri().toString()), names, groups)
+
+
+def footers(spark: SparkSession, paths: list[str]) -> list[Footer]:
+    """The files' footers in order: by a Spark job over the paths where there are many, else by a few driver threads."""
+    uris = [str(fs.makeQualified(p).toUri().toString()) for fs, p in (hadoop_path(spark, path) for path in paths)]
+    if len(paths) <= INLINE_FILES or any(u.partition(":")[0] not in ARROW_SCHEMES for u in uris):
+        with ThreadPoolExecutor(8) as pool:
+            return list(pool.map(lambda p: _jvm_footer(spark, p), paths))
+
+    def work(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out = []
+            for uri in batch.column(0).to_pylist():
+                plain = unquote(uri)
+                fs, path = (pafs.LocalFileSystem(), "/" + plain[5:].lstrip("/")) if plain.startswith("file:") else pafs.FileSystem.from_uri(uri)
+                meta = pq.read_metadata(path, filesystem=fs)
+                groups = [(g.num_rows, [(c.path_in_schema.split(".")[0], c.total_compressed_size, c.total_uncompressed_size) for c in map(g.column, range(g.num_columns))]) for g in map(meta.row_group, range(meta.num_row_groups))]
+                out.append(json.dumps([uri, meta.schema.to_arrow_schema().names, groups]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["footer"])
+
+    asked = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(min(len(uris), 4 * spark.sparkContext.defaultParallelism))
+    said = [json.loads(r[0]) for r in asked.mapInArrow(work, "footer string").collect()]
+    found = {f: Footer(f, names, [Group(n, [Chunk(*c) for c in chunks]) for n, chunks in groups]) for f, names, groups in said}
+    return [found[u] for u in uris]
+
+
+def read_entries(spark: SparkSession, path: str | list[str], schema=None, format: str = "parquet") -> DataFrame:
+    """A file or table folder (or several) with its hidden position columns."""
     reader = spark.read.format(format)
     if schema is not None:
         reader = reader.schema(schema)

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,17 @@ def trees(spark: SparkSession, sources: Any, allow_missing: bool = False, **opti
     return out
 
 
+def together(spark: SparkSession, sources: Any, allow_missing: bool = False, **options: Any) -> list[Tree | None]:
+    """``trees``, but many plain files of the same columns are one tree and so one scan, whatever their number."""
+    wanted = files.regularize(spark, sources)
+    plain = [p for p, obj, _ in wanted if isinstance(p, str) and obj is None]
+    if allow_missing or len(plain) < len(wanted) or len(plain) <= files.INLINE_FILES or len(set(plain)) < len(plain):
+        return trees(spark, sources, allow_missing, **options)
+    if any(files.hadoop_path(spark, p)[0].getFileStatus(files.hadoop_path(spark, p)[1]).isDirectory() for p in plain):
+        return trees(spark, sources, allow_missing, **options)
+    return [Tree.open_many(spark, plain, **options)]
+
+
 def num_entries(spark: SparkSession, sources: Any) -> Iterator[tuple[str, str | None, int]]:
     """(file, object, rows) of each file, from positions alone."""
     for path, obj, _ in files.regularize(spark, sources):
@@ -69,7 +81,7 @@ def concatenate(spark: SparkSession, sources: Any, expressions: Any = None, cut:
 
     ``entry`` adds global entry numbers; files left out by ``allow_missing`` still count in them if they have rows.
     """
-    found = [t for t in trees(spark, sources, allow_missing, **(options or {})) if t is not None]
+    found = [t for t in together(spark, sources, allow_missing, **(options or {})) if t is not None]
     if not found:
         raise ValueError("no file has the table")
     ranged = entry_start is not None or entry_stop is not None
@@ -108,7 +120,7 @@ def lazy(spark: SparkSession, sources: Any, *, open_files: bool = True, schema:
 
     With ``open_files=False`` only the first file (or a given schema) says which columns there are.
     """
-    found = trees(spark, sources)
+    found = together(spark, sources)
     if schema is not None:
         return reduce(DataFrame.unionByName, [t.rows.select(*schema.names) for t in found])
     first = found[0].keys(recursive=False, filter_name=filter_name, **filters)
@@ -156,7 +168,7 @@ def partitions(tree: Tree, step_size: int | str | None = None, steps_per_file: i
     return out
 
 
-def read_with_report(spark: SparkSession, sources: Any, schema: Any, expressions: Any = None, errors: tuple[type[BaseException], ...] = (OSError, PySparkException)) -> tuple[DataFrame, list[dict[str, Any]]]:
+def read_with_report(spark: SparkSession, sources: Any, schema: Any, expressions: Any = None, errors: tuple[type[BaseException], ...] = (OSError, PySparkException, Py4JJavaError)) -> tuple[DataFrame, list[dict[str, Any]]]:
     """The union of the readable files, and a report on each: a file that fails becomes an empty part with its error's name.
 
     Each file is tried by itself on its footer and first rows, so a broken one is found before the query runs.
@@ -170,7 +182,8 @@ def read_with_report(spark: SparkSession, sources: Any, schema: Any, expressions
             tree.rows.limit(1).collect()
             parts.append(tree.arrays(expressions))
         except errors as e:
-            row |= {"ok": False, "exception": type(e).__name__, "message": str(e).splitlines()[0]}
+            said = str(e.java_exception.getMessage() or e.java_exception) if isinstance(e, Py4JJavaError) else str(e)
+            row |= {"ok": False, "exception": type(e).__name__, "message": (said.splitlines() or [""])[0]}
         report.append(row)
     empty = spark.createDataFrame([], schema)
     return (reduce(DataFrame.unionByName, parts) if parts else empty), report

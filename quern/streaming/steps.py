@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions import numeric
@@ -51,6 +52,20 @@ def histogram(stream: DataFrame, axes: Sequence[Axis], values: Sequence[Column],
     return binned.groupBy(*binned.columns[:-1]).agg(F.count("*").alias("entries"), F.sum("w").alias("value"), F.sum(F.col("w") * F.col("w")).alias("variance"))
 
 
+def cells_to(cells: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes each micro-batch's changed cells under its number; a batch that runs again overwrites its own."""
+    write = lambda changed, number: changed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return cells.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_cells(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The latest state of each cell of ``cells_to``."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    keys = [c for c in schema.names if c not in ("entries", "value", "variance")]
+    values = F.struct(*[c for c in schema.names if c not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v")).select(*keys, "v.*")
+
+
 def windowed(stream: DataFrame, time: str, width: str, by: Sequence[str], late: str, **aggregates: Column) -> DataFrame:
     """Aggregates per tumbling window and key; rows later than ``late`` are dropped, and finished windows leave the state."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(*[c.alias(k) for k, c in aggregates.items()])

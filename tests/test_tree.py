@@ -15,42 +15,44 @@ from quern.sources import files, session
 @pytest.fixture(scope="module")
 def chunks(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("chunks")
-    for k in range(3):
-        spark.range(10 * k, 10 * k + 10).selectExpr("id as x", "transform(sequence(0, cast(id % 3 as int)), i -> id * 10 + i) as j", "concat('str', id) as s").coalesce(1).write.parquet(f"{root}/f{k}.parquet")
+    for k, (a, b) in enumerate([(0, 17), (17, 18), (18, 41)]):
+        spark.range(a, b).selectExpr("id as x", "hex(id) as word", "if(id % 4 = 0, null, id / 8) as part").coalesce(1).write.parquet(f"{root}/f{k}.parquet")
+    (root / "f3.parquet").mkdir()
+    spark.range(0).selectExpr("id as x", "hex(id) as word", "id / 8 as part").coalesce(1).write.mode("overwrite").parquet(f"{root}/f3.parquet")
     return root
 
 
-@pytest.mark.parametrize("a, b", [(0, 10), (0, 15), (5, 20), (10, 20), (0, 30), (7, 23), (0, 0), (10, 10), (15, 15), (30, 30), (-5, None), (None, -25), (20, 5), (-100, 100)])
+@pytest.mark.parametrize("a, b", [(None, None), (16, 19), (17, 18), (3, 40), (18, None), (41, 50), (-1, None), (None, -39), (-24, -22), (30, 2), (-77, 88), (22, 22)])
 def test_ranges(spark, chunks, a, b):
-    whole = list(range(30))
-    got = session.concatenate(spark, f"{chunks}/f*.parquet", ["x", "s"], entry_start=a, entry_stop=b, entry=True)
+    whole = list(range(41))
+    got = session.concatenate(spark, f"{chunks}/f*.parquet", ["x", "word"], entry_start=a, entry_stop=b, entry=True)
     rows = sorted(got.collect(), key=lambda r: r._entry)
-    low, high = bounds(a, b, 30)
+    low, high = bounds(a, b, 41)
     assert [r.x for r in rows] == whole[low:high] == [r._entry for r in rows]
 
 
 def test_range_reaches_the_scan(spark, chunks):
     plan = Tree.open(spark, f"{chunks}/f0.parquet").arrays(["x"], entry_start=2, entry_stop=5)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PushedFilters: \[[^\]]*row_index", plan) and "s#" not in plan.split("ReadSchema")[1]
+    assert re.search(r"PushedFilters: \[[^\]]*row_index", plan) and "word" not in plan.split("ReadSchema")[1]
 
 
 def test_iterate_equals_concatenate(spark, chunks):
     sizes, seen = [], []
-    for out, report in session.iterate(spark, f"{chunks}/f*.parquet", ["x"], "x % 2 == 0", step_size=4, report=True):
+    for out, report in session.iterate(spark, f"{chunks}/f*.parquet", ["x"], "x % 2 == 0", step_size=6, report=True):
         got = sorted(r.x for r in out.collect())
         assert got == [x for x in range(report.global_start, report.global_stop) if x % 2 == 0]
         sizes.append(report.entry_stop - report.entry_start)
         seen += got
-    assert sizes == [4, 4, 2] * 3 and seen == list(range(0, 30, 2))
+    assert sizes == [6, 6, 5, 1, 6, 6, 6, 5] and seen == list(range(0, 41, 2))
 
 
 def test_sizes(spark, chunks):
     t = Tree.open(spark, f"{chunks}/f0.parquet")
     per = t.column_bytes(["x"]) / t.num_entries
-    assert t.num_entries == 10 and t.num_entries_for(round(per * 3), ["x"]) == 3 and t.num_entries_for(1) == 1
-    assert t.common_entry_offsets() == [0, 10] and t.uncompressed_bytes >= t.column_bytes(["x"]) and t.compression_ratio > 0
-    assert [n for _, _, n in session.num_entries(spark, f"{chunks}/f{{0,2}}.parquet")] == [10, 10]
-    assert session.partitions(t, steps_per_file=3)[-1][1:] == (8, 10)
+    assert t.num_entries == 17 and t.num_entries_for(round(per * 3), ["x"]) == 3 and t.num_entries_for(1) == 1
+    assert t.common_entry_offsets() == [0, 17] and t.common_entry_offsets(filter_name="none") == [] and t.uncompressed_bytes >= t.column_bytes(["x"]) and t.compression_ratio > 0
+    assert [n for _, _, n in session.num_entries(spark, f"{chunks}/f{{0,2}}.parquet")] == [17, 23]
+    assert session.partitions(t, steps_per_file=3)[-1][1:] == (12, 17)
 
 
 @pytest.mark.parametrize("spec, kept", [
@@ -64,7 +66,9 @@ def test_small_helpers():
     assert [memory_size(s) for s in ("1 kB", "1KiB", "2.5 mb", "100 MB", "7B", "12")] == [1000, 1024, 2500000, 10**8, 7, None]
     with pytest.raises(ValueError):
         memory_size("5 apples")
-    assert renamer("/^a(.)/x\\1/")("abc") == "xbc" and renamer([{"p": "q"}, "/p/r/"])("p") == "q" and renamer(None)("z") == "z"
+    assert renamer("/^a(.)/x\\1/")("abc") == "xbc" and renamer([{"p": "q"}, "/p/r/"])("p") == "q" and renamer(None)("z") == "z" and renamer("s/B$/d/i")("ab") == "ad"
+    with pytest.raises(ValueError, match="flag"):
+        renamer("/a/b/q")
     assert edit_distance("abcd", "acbd") == 1 and edit_distance("", "ab") == 2
     assert files.split_object("s3://b/f.parquet:dir//t") == ("s3://b/f.parquet", "dir/t") and files.split_object("http://h:80/f") == ("http://h:80/f", None)
     assert files.split_object("C:\\x.parquet") == ("C:\\x.parquet", None) and files.split_object("a.zip::b.parquet:t") == ("a.zip::b.parquet", "t")
@@ -118,11 +122,11 @@ def test_list_cuts_and_zip(spark):
 def test_missing_files_and_reports(spark, chunks):
     with pytest.raises(FileNotFoundError):
         session.concatenate(spark, [f"{chunks}/f0.parquet", f"{chunks}/none.parquet"], ["x"])
-    assert session.concatenate(spark, [f"{chunks}/f0.parquet", f"{chunks}/none.parquet"], ["x"], allow_missing=True).count() == 10
+    assert session.concatenate(spark, [f"{chunks}/f0.parquet", f"{chunks}/none.parquet"], ["x"], allow_missing=True).count() == 17
     bad = chunks / "bad.parquet"
     bad.write_bytes(b"PAR1 not really")
     rows, report = session.read_with_report(spark, [f"{chunks}/f0.parquet", str(bad)], "x long", ["x"])
-    assert rows.count() == 10 and [r["ok"] for r in report] == [True, False]
+    assert rows.count() == 17 and [r["ok"] for r in report] == [True, False]
     with pytest.raises(ValueError, match="no column"):
         session.lazy(spark, [spark.range(1), spark.range(1).toDF("other")])
 
@@ -133,3 +137,33 @@ def test_numbering(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     got = number_rows(rows, ["v"]).toPandas().sort_values("_entry")
     assert got._entry.tolist() == list(range(1000)) == got.v.tolist() and np.all(np.diff(got.v) == 1)
+
+
+def test_numbering_of_more_rows_than_a_range_samples(spark):
+    from quern.operators.tree import number_rows
+
+    rows = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("v"), F.lit(None).cast("string").alias("none"))
+    got = number_rows(rows, ["v"])
+    assert got.where("_entry <> v").count() == 0 and got.agg(F.min("_entry"), F.max("_entry"), F.countDistinct("_entry")).first()[:] == (0, 399_999, 400_000)
+    assert Tree(rows.select("v"), order_by=["v"]).arrays(["v"], entry_start=123_456, entry_stop=123_459).toPandas().v.sort_values().tolist() == [123_456, 123_457, 123_458]
+    assert number_rows(rows.where("false"), ["v"]).collect() == []
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    import pandas as pd
+
+    for k in range(70):
+        pd.DataFrame({"x": np.arange(k, k + k % 4, dtype="int64"), "y": float(k)}).to_parquet(f"{tmp_path}/a {k:03}.parquet")
+    got = session.concatenate(spark, f"{tmp_path}/*.parquet", ["x"], "x % 2 == 0", entry=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    want = [x for k in range(70) for x in range(k, k + k % 4)]
+    assert "Union" not in plan and sorted((r._entry, r.x) for r in got.collect()) == [(e, x) for e, x in enumerate(want) if x % 2 == 0]
+    for a, b in ((3, 100), (-20, None), (50, 51), (0, 1)):
+        part = session.concatenate(spark, f"{tmp_path}/*.parquet", ["x"], entry_start=a, entry_stop=b)
+        assert sorted(r.x for r in part.collect()) == sorted(want[slice(a, b)])
+    assert session.lazy(spark, f"{tmp_path}/*.parquet").count() == len(want)
+    batches = Tree.open_many(spark, sorted(map(str, tmp_path.glob("*.parquet")))).batches(2, ["x"], "x >= 0")
+    assert batches.where("_batch_file = 7").count() == 3 and batches.where("_batch_file = 7 and _batch = 1").count() == 1
+    pd.DataFrame({"x": [1]}).to_parquet(f"{tmp_path}/a 999.parquet")
+    with pytest.raises(KeyInTableError):
+        session.concatenate(spark, f"{tmp_path}/*.parquet", ["x"])
