@@ -1,16 +1,13 @@
-"""Files and tables in the folder that driver and executors share.
+"""Files and tables in the folder that driver and executors share (see ``quern.sources.shared``).
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop) a
-temporary folder of this machine is used and set as the checkpoint folder.  Binary files (token files, tar shards)
-are written with pyarrow's file systems, so ``file:``, ``hdfs:``, ``s3:`` and ``gs:`` folders work alike.  Every file
-gets a name of its own per task attempt; only names that a finished task has returned are ever read, so a lost
+Binary files (token files, tar shards) are written with pyarrow's file systems, so ``file:``, ``hdfs:``, ``s3:`` and
+``gs:`` folders work alike.  Every file gets a name of its own per task attempt; only names that a finished task has returned are ever read, so a lost
 executor or a speculative attempt leaves at worst an orphan file, never a half-read one.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
@@ -18,23 +15,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; sets a temporary one only where the session names none."""
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    where = spark._jvm.org.apache.hadoop.fs.Path(base)  # a path without a scheme is the default file system's
-    return str(where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()).rstrip("/")
+from quern.sources import shared
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder below the shared one (made by whoever first writes to it)."""
-    return f"{shared_dir(spark)}/quern-llm/{name}-{uuid.uuid4().hex}"
+    return shared.new_folder(spark, name, "quern-llm")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -109,6 +109,48 @@ def test_nearest(spark):
     assert len(pairs(approx) & pairs(got)) >= 0.9 * len(got) and vantage.nearest(frame.where("false")).collect() == []
 
 
+def test_nearest_of_repeated_rows_and_extreme_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = [*rng.normal(0, 1, (300, 5)), *rng.normal(0, 1, (60, 5)) * 1e200, *rng.normal(0, 1, (60, 5)) * 1e-200, *np.ones((200, 5))]
+    rows = [(k, v.tolist(), f"s{k}") for k, v in enumerate(x)]
+    twice = rows + rows[:150] + [(200, [9.0] * 5, "other vector"), (0, rows[0][1], "other column")]
+    got = vantage.nearest(spark.createDataFrame(twice, "vec_id long, embedding array<double>, point string"), factor=1.0, shard_rows=16, query_rows=2).toPandas()
+    assert not got.duplicated(["query_id", "score", "vec_id"]).any() and set(got.query_id) == {0, 100, 200, 300, 400, 500, 600}
+    ids, full = np.array([r[0] for r in rows] + [200]), np.array([*x, np.full(5, 9.0)])
+    for q, v in [(k, x[k]) for k in range(0, 620, 100)] + [(200, np.full(5, 9.0))]:
+        diff = full - v
+        most = np.abs(diff).max(axis=1)
+        d = most * np.sqrt(((diff / np.where(most, most, 1)[:, None]) ** 2).sum(axis=1))
+        order = [k for k in np.lexsort((ids, d)) if ids[k] != q][:10]
+        mine = got[got.query_id == q]
+        at = [k for k in range(len(mine)) if mine.vec_id.iloc[k] in ids[order]]
+        assert np.isfinite(mine.score).all() and len(mine) == (20 if q == 200 else 10)
+        if q != 200:
+            mine = mine.sort_values("rank")
+            assert np.allclose(mine.score, d[order], rtol=1e-12, atol=0) and (mine.vec_id.tolist() == ids[order].tolist() or q >= 300), (q, mine, ids[order])
+        else:
+            assert len(at) >= 10
+
+
+def test_shards_of_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 50, (12, 8))
+    x = np.concatenate([c + rng.normal(0, 1, (100, 8)) for c in centres])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = frame.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    points = vantage._points(rows, 1200, 40)
+    placed = vantage._shelled(vantage._placed(rows, points, "<f8"), 40)
+    shells = placed.groupBy(*vantage.SHELL).agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()
+    asked = placed.where("id % 100 = 0").select(*vantage.SHELL, F.col("id").alias("query_id"), F.lit(0).cast("long").alias("number"), F.lit(4.0).alias("bound"), "v")
+    reached = vantage._reached(asked, shells, points, 1.0, "<f8").count()
+    assert len(points[8]) == 7 and len(shells) > 20 and reached < 0.5 * 12 * len(shells)
+    got = vantage.nearest(frame, factor=1.0, shard_rows=40).toPandas()
+    for q in range(0, 1200, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def test_recall_on_the_given_vectors(spark, sf):
     frame = spark.read.parquet(f"{sf}/embeddings.parquet")
     exact, fast = (vantage.nearest(frame, factor=f, shard_rows=128).toPandas() for f in (1.0, 0.3))
