@@ -1,20 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and weighted votes.
 
-Terms are words (runs of letters and digits, A-Z lower-cased) and their first four and five bytes.  From a bounded
-sample of labelled rows (``max_train``; near copies among them count once) the terms that toxic rows hold
-significantly more often are kept; TF-IDF vectors live on these terms, so one abusive word in a very long text weighs
-as much as in a short one.  Sample rows with such terms are the index's examples.
-
-The index holds, per term, its postings in blocks of 32 examples and the largest weight of each block.  A query adds up
-the blocks' bounds, visits blocks from the highest bound on, and stops when no bound reaches the k-th best cosine: the
-k nearest are exact, ties going to the smaller id.  The score is a vote of the neighbours weighted by cosine, drawn
-toward the toxic share of sample rows without any kept term; neighbours and cosines come along as evidence.
-
-Defined results: null and empty texts have no terms and get that share as their score; repeated rows get equal scores;
-null ids stay null; without toxic sample rows every score is 0.  Labels, language, source and id are no inputs of a
-score.  Other columns are not read (``kept`` passes them through).
-
-At scale: the model is bounded by ``max_train`` and travels with the tasks; scoring is one map without a shuffle.
+Terms are words (runs of letters and digits, A-Z lower-cased) and stems (their first four and five bytes).  From a
+bounded sample of labelled rows (``max_train`` rows, ``max_bytes`` of text; near copies count once in frequencies) every
+word is indexed, and every stem that toxic rows hold significantly more often.  A term's weight is (1 + ln tf) idf times
+its relevance: 1 for words and stems that toxic rows hold significantly more often, ``PLAIN`` for all others, so that one
+abusive word decides who the neighbours of a long text are, and texts without one still have theirs.  All rows of the
+sample are examples.
+
+The index holds, per term, its postings in blocks of ``BLOCK`` examples and the largest weight of each block; examples
+that are alike share blocks.  A query adds up the blocks' bounds, visits blocks from the highest bound on, a few at a
+time, and stops when no bound reaches the k-th best cosine: the k nearest are exact, ties going to the smaller id.  The
+neighbours vote with their cosines as weights, drawn toward the (smoothed) toxic share of sample rows without a relevant term.  The
+score is that vote, calibrated by a logistic curve: it is fitted on the votes that a fifth of the sample gets from an
+index of the other four.  Neighbours and cosines come along as evidence.
+
+Defined results: null and empty texts, and texts that share no term with the sample, have no neighbours and get the
+calibrated share as their score; repeated rows get equal scores; null ids stay null; without toxic sample rows every
+score is 0.  Labels, language, source and id are no inputs of a score.  Other columns are not read (``kept`` passes them
+through).
+
+At scale: the model is bounded by ``max_train`` and ``max_bytes`` and is broadcast once; scoring is one map without a
+shuffle, a text's work being bounded by the index.
 """
 
 from __future__ import annotations
@@ -29,20 +35,23 @@ from pyspark.sql import functions as F
 from quern.llm import labelled
 from quern.llm.textcore import WORDY, Words, chunks, text_buffers, trimmed
 
-PREFIXES = (4, 5)
-MAX_TRAIN, NEIGHBOURS, BLOCK = 6000, 15, 32
+STEMS = (4, 5)
+MAX_TRAIN, MAX_BYTES, NEIGHBOURS, BLOCK, PLAIN = 6000, 1 << 26, 15, 256, 0.01
+#: Terms at most whose postings are also held as dense columns.
+DENSE = 512
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, term hash) of every occurrence."""
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document number, term hash, whether it is a word) of every occurrence."""
     words = Words(data, offsets, solid=WORDY)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
     docs, out = [doc], [words.hash]
-    for n in PREFIXES:
+    for n in STEMS:
         long = words.end - words.start > n
         out.append(words.stretch(words.start[long], words.start[long] + n) ^ np.uint64(n))
         docs.append(doc[long])
-    return np.concatenate(docs), np.concatenate(out)
+    doc = np.concatenate(docs)
+    return doc, np.concatenate(out), np.arange(len(doc)) < len(words.hash)
 
 
 class Lookup:
@@ -51,11 +60,14 @@ class Lookup:
     def __init__(self, hashes: np.ndarray):
         self.bits = max(8, int(4 * len(hashes) + 1).bit_length())
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        for k, h in enumerate(hashes.tolist()):
-            at = h >> (64 - self.bits)
-            while self.keys[at]:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.keys[at], self.values[at] = h, k
+        at, left = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            _, first = np.unique(at[free], return_index=True)  # of several for one slot, one takes it
+            won = free[first]
+            self.keys[at[won]], self.values[at[won]] = hashes[won], won
+            left = left[self.values[at[left]] != left]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -70,86 +82,204 @@ class Lookup:
         return out
 
 
-def vectors(known: Lookup, idf: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per document its terms and unit TF-IDF weights ((1 + ln tf) idf)."""
-    doc, h = terms(data, offsets)
+def unit_rows(row: np.ndarray, term: np.ndarray, tf: np.ndarray, factor: np.ndarray, n_rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row its terms and unit weights; cells ascend by row and term."""
+    weight = (1 + np.log(tf)) * factor[term] if len(term) else np.zeros(0)
+    norm = np.sqrt(np.bincount(row, weight * weight, minlength=n_rows))
+    weight = weight / norm[row]
+    ends = np.searchsorted(row, np.arange(n_rows + 1))
+    return [(term[a:b], weight[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def vectors(known: Lookup, factor: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per document its known terms and unit weights."""
+    doc, h, _ = terms(data, offsets)
     number = known.find(h)
     hit = number >= 0
-    n_docs, n_terms = len(offsets) - 1, max(1, len(idf))
+    n_docs, n_terms = len(offsets) - 1, max(1, len(factor))
     cell, tf = np.unique(doc[hit] * n_terms + number[hit], return_counts=True)
-    row, term = cell // n_terms, cell % n_terms
-    weight = (1 + np.log(tf)) * idf[term] if len(cell) else np.zeros(0)
-    norm = np.sqrt(np.bincount(row, weight * weight, minlength=n_docs))
-    weight = weight / norm[row]
-    ends = np.searchsorted(row, np.arange(n_docs + 1))
-    return [(term[a:b], weight[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return unit_rows(cell // n_terms, cell % n_terms, tf, factor, n_docs)
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after another, and the number of the range of each."""
+    size = stop - start
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size), which
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with each block's largest weight."""
+    """Postings of unit vectors by term and block, with each block's largest weight per term."""
 
     def __init__(self, ids: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][rows[i][1].argmax()]), int(ids[i])))  # alike rows share blocks
-        self.ids, self.block = np.asarray(ids, np.int64)[order], block
-        self.n_blocks = -(-len(order) // block)
-        self.bound = np.zeros((n_terms, self.n_blocks), np.float64)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(n_terms)]
-        gather: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in zip(rows[i][0].tolist(), rows[i][1].tolist(), strict=True):
-                gather.setdefault((t, place // block), []).append((place % block, w))
-        for (t, b), got in gather.items():
-            at, w = zip(*got, strict=True)
-            self.postings[t][b] = np.array(at), np.array(w)
-            self.bound[t, b] = max(w)
+        size = np.array([len(t) for t, _ in rows], np.int64)
+        row = np.repeat(np.arange(len(rows)), size)
+        term, weight = (np.concatenate([r[k] for r in rows] + [np.zeros(0)]) for k in (0, 1))
+        term = term.astype(np.int64)
+        alike = self._alike(np.asarray(ids), row, term, weight, n_terms)
+        alike = alike[np.lexsort((np.asarray(ids)[alike], np.arange(len(rows)) // block))]  # blocks ascend by id inside
+        place = np.empty(len(rows), np.int64)
+        place[alike] = np.arange(len(rows))
+        self.block, self.n_blocks = block, -(-len(rows) // block)
+        self.ids = np.empty(len(rows), np.int64)
+        self.ids[place] = ids
+        order = np.lexsort((place[row], term))
+        term, self.at, self.weight = term[order], place[row][order].astype(np.int32), weight[order]
+        key = term * max(1, self.n_blocks) + self.at // block
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        #: Of each term and block that meet: the block, its largest weight, and where its postings start and stop.
+        self.run_block, self.run_most = (self.at[first] // block), np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.run_start, self.run_stop = first, np.append(first[1:], len(key))
+        self.runs = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _alike(ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, seeds: int = 24) -> np.ndarray:
+        """An order in which rows that are near to the same of a few seed rows lie together; it only makes visits fewer."""
+        n = len(ids)
+        near, best = np.zeros(n, np.int64), np.zeros(n)
+        for k, s in enumerate(np.argsort(ids * 2654435761 % 4294967291, kind="stable")[:seeds].tolist()):
+            own = np.zeros(n_terms)
+            own[term[row == s]] = weight[row == s]
+            cosine = np.bincount(row, weight * own[term], minlength=n)
+            near, best = np.where(cosine > best, k + 1, near), np.maximum(cosine, best)
+        return np.lexsort((ids, near))
+
+    def ready(self) -> BlockMaxIndex:
+        """Also holds the postings of the commonest terms as dense columns, block after block: they meet nearly all blocks."""
+        if not hasattr(self, "panel"):
+            size = np.add.reduceat(self.run_stop - self.run_start, self.runs[:-1]) * (np.diff(self.runs) > 0) if len(self.run_block) else np.zeros(len(self.runs) - 1, np.int64)
+            common = np.argsort(-size, kind="stable")[:DENSE]
+            common = common[size[common] > len(self.ids) // 32]
+            self.dense_of = np.full(len(size), -1)
+            self.dense_of[common] = np.arange(len(common))
+            self.panel = np.zeros((self.n_blocks, len(common), self.block))
+            run, which = _ranges(self.runs[common], self.runs[common + 1])
+            post, of = _ranges(self.run_start[run], self.run_stop[run])
+            self.panel[self.at[post] // self.block, which[of], self.at[post] % self.block] = self.weight[post]
+        return self
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("panel", "dense_of")}
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the k examples of largest cosine above 0, and the cosines; ties to the smaller id."""
-        bounds = weight @ self.bound[term]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[k - 1] - 1e-12:
+        return self.nearest_of([(term, weight)], k)[0]
+
+    def nearest_of(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of many unit vectors: those that visit the same block do so together."""
+        self.ready()
+        n, blocks = len(rows), self.n_blocks
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in rows])
+        term, weight = (np.concatenate([r[j] for r in rows] + [np.zeros(0)]) for j in (0, 1))
+        term = term.astype(np.int64)
+        run, which = _ranges(self.runs[term], self.runs[term + 1])
+        block, owner, own = self.run_block[run], doc[which], weight[which]
+        bounds = np.bincount(owner * blocks + block, own * self.run_most[run], minlength=n * blocks).reshape(n, blocks)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        bounds = np.take_along_axis(bounds, order, 1)
+        column = self.dense_of[term]
+        dense = np.zeros((n, self.panel.shape[1]))
+        dense[doc[column >= 0], column[column >= 0]] = weight[column >= 0]
+        rare = np.flatnonzero(column[which] < 0)
+        rare = rare[np.argsort(block[rare], kind="stable")]
+        edge = np.searchsorted(block[rare], np.arange(blocks + 1))
+        best, best_at = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
+        place = np.empty(n, np.int64)
+        live, done, step = np.arange(n), 0, 2
+        while done < blocks:
+            may = (bounds[live] > 0) & (bounds[live] >= best[live, -1:] - 1e-9)
+            live, may = live[may[:, done]], may[may[:, done], done : done + step]
+            if not len(live):
                 break
-            cosine = np.zeros(self.block)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                if b in self.postings[t]:
-                    at, own = self.postings[t][b]
-                    cosine[at] += w * own
-            hit = np.flatnonzero(cosine)
-            best_at, best = np.concatenate([best_at, hit + b * self.block]), np.concatenate([best, cosine[hit]])
-            keep = np.lexsort((self.ids[best_at], -best))[:k]
-            best_at, best = best_at[keep], best[keep]
-        return best_at, best
+            at, turn = np.nonzero(may)
+            visitor, visited = live[at], order[live[at], done + turn]
+            by_block = np.argsort(visited, kind="stable")
+            for x in np.split(by_block, np.flatnonzero(np.diff(visited[by_block])) + 1):
+                who, b = visitor[x], int(visited[x[0]])
+                place[:] = -1
+                place[who] = np.arange(len(who))
+                cosine = dense[who] @ self.panel[b]
+                mine = rare[edge[b] : edge[b + 1]]
+                mine = mine[place[owner[mine]] >= 0]
+                start, stop = self.run_start[run[mine]], self.run_stop[run[mine]]
+                post, _ = _ranges(start, stop)
+                cell = np.repeat(place[owner[mine]] * self.block - b * self.block, stop - start) + self.at[post]
+                cosine += np.bincount(cell, self.weight[post] * np.repeat(own[mine], stop - start), minlength=cosine.size).reshape(cosine.shape)
+                self._offer(who, b, np.round(cosine, 12), best, best_at)
+            done, step = done + step, step * 2
+        return [(p[p >= 0], c[p >= 0]) for p, c in zip(best_at, best, strict=True)]
+
+    def _offer(self, who: np.ndarray, b: int, cosine: np.ndarray, best: np.ndarray, best_at: np.ndarray) -> None:
+        """Takes up a block's cosines; a block's examples ascend by id, so a stable sort leaves ties to the smaller id."""
+        some = cosine.max(axis=1) >= np.maximum(best[who, -1], 1e-12)
+        who, cosine = who[some], np.where(cosine[some] > 0, cosine[some], -1.0)
+        if not len(who):
+            return
+        first = np.argsort(-cosine, axis=1, kind="stable")[:, : best.shape[1]]
+        new = np.take_along_axis(cosine, first, 1)
+        all_c = np.concatenate([best[who], new], axis=1)
+        all_at = np.concatenate([best_at[who], np.where(new > 0, first + b * self.block, -1)], axis=1)
+        keep = np.lexsort((self.ids[all_at], -all_c), axis=1)[:, : best.shape[1]]
+        best[who] = np.take_along_axis(all_c, keep, 1)
+        best_at[who] = np.take_along_axis(all_at, keep, 1)
 
 
 @dataclass
 class Model:
+    """``hashes`` and ``factor`` of terms, the examples' index, their labels in its order, and the calibration."""
+
     hashes: np.ndarray
-    idf: np.ndarray
-    ids: np.ndarray
+    factor: np.ndarray
+    index: BlockMaxIndex | None
     toxic: np.ndarray
-    rows: list
     floor: float
     k: int = NEIGHBOURS
     pull: float = 1.0
+    curve: tuple[float, float] | None = None
 
     def ready(self) -> Model:
-        if not hasattr(self, "index"):
+        if not hasattr(self, "known"):
             self.known = Lookup(self.hashes)
-            self.index = BlockMaxIndex(self.ids, self.rows, len(self.hashes))
-            self.label = dict(zip(self.ids.tolist(), self.toxic.tolist(), strict=True))
         return self
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "index", "label")}
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def votes(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector the vote, the neighbours' ids and their cosines."""
+        none = np.zeros(0, np.int64), np.zeros(0)
+        found = self.index.nearest_of(rows, self.k) if self.index is not None and rows else [none] * len(rows)
+        return [(round(float((c @ self.toxic[at] + self.pull * self.floor) / (c.sum() + self.pull)), 12), self.index.ids[at], c) if len(at) else (self.floor, *none) for at, c in found]
+
+    def calibrated(self, vote: float) -> float:
+        if self.curve is None:
+            return vote
+        return float(1 / (1 + np.exp(-(self.curve[0] * _logit(vote) + self.curve[1]))))
 
-    def score(self, term: np.ndarray, weight: np.ndarray) -> tuple[float, list[int], list[float]]:
-        if not len(term) or not len(self.ids):
-            return self.floor, [], []
-        at, cosine = self.index.nearest(term, weight, self.k)
-        ids = self.index.ids[at].tolist()
-        votes = np.array([self.label[i] for i in ids], float)
-        return float((cosine @ votes + self.pull * self.floor) / (cosine.sum() + self.pull)), ids, cosine.tolist()
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], list[float]]]:
+        return [(self.calibrated(vote), ids.tolist(), cosine.tolist()) for vote, ids, cosine in self.votes(rows)]
+
+
+def _logit(p: float | np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def logistic_curve(votes: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[float, float] | None:
+    """Slope and offset of Platt's curve (with his smoothed targets) by Newton steps; None where a class is missing."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    if not n1 or not n0:
+        return None
+    x = np.stack([_logit(votes), np.ones(len(votes))])
+    y = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2), x @ (p - y) + 1e-3 * (w - [1, 0]))
+        w = w - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else None
 
 
 def distinct_rows(sets: list[np.ndarray], sketch: int = 16, same: int = 9) -> np.ndarray:
@@ -184,55 +314,76 @@ def choose_terms(sets: list[np.ndarray], toxic: np.ndarray, z: float = 2.8, rati
     return many[keep], (c1 + c0)[keep]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int = NEIGHBOURS, label_col: str = "toxic") -> Model:
-    """Fits on at most ``max_train`` labelled rows; every other figure follows from them."""
-    rows = labelled.sample(docs, labels, label_col, max_train)
+def train(ids: np.ndarray, toxic: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Model:
+    """A model of rows given as (term hashes ascending, counts, whether they are words), not yet calibrated."""
+    single = distinct_rows([s[0] for s in sets])
+    relevant, _ = choose_terms([sets[i][0] for i in single], toxic[single])
+    if not len(relevant):
+        return Model(relevant, np.zeros(0), None, np.zeros(0), float(toxic.mean()) if len(toxic) else 0.0, k)
+    hashes = np.unique(np.concatenate([relevant, *(h[word] for h, _, word in sets)]))
+    numbers = [np.searchsorted(hashes, h) for h, _, _ in sets]
+    known = [hashes[np.minimum(n, len(hashes) - 1)] == h for n, (h, _, _) in zip(numbers, sets, strict=True)]
+    df = np.zeros(len(hashes), np.int64)
+    for i in single:
+        df[numbers[i][known[i]]] += 1
+    strong = np.isin(hashes, relevant)
+    factor = np.log((len(single) + 1) / (df + 0.5)) * np.where(strong, 1.0, PLAIN)
+    row = np.repeat(np.arange(len(sets)), [int(f.sum()) for f in known])
+    term, tf = (np.concatenate(x) for x in ([n[f] for n, f in zip(numbers, known, strict=True)], [c[f] for (_, c, _), f in zip(sets, known, strict=True)]))
+    index = BlockMaxIndex(ids, unit_rows(row, term, tf, factor, len(sets)), len(hashes))
+    held = np.bincount(row, strong[term], minlength=len(sets)) > 0
+    label = dict(zip(ids.tolist(), toxic.tolist(), strict=True))
+    return Model(hashes, factor, index, np.array([label[i] for i in index.ids.tolist()], float), float((toxic[~held].sum() + 0.5) / ((~held).sum() + 1)), k)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int = NEIGHBOURS, label_col: str = "toxic", max_bytes: int = MAX_BYTES) -> Model:
+    """Fits on at most ``max_train`` labelled rows of ``max_bytes`` in all; every other figure follows from them."""
+    rows = labelled.sample(docs, labels, label_col, max_train, max_bytes=max_bytes)
 
     def work(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            sets = []
+            cells = []
             for a, b in chunks(offsets):
-                doc, h = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                doc, h, word = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 order = np.argsort(doc, kind="stable")
-                sets += [np.unique(x).tobytes() for x in np.split(h[order], np.searchsorted(doc[order], np.arange(1, b - a)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["doc_id", "label", "terms"])
-
-    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(trimmed(work), "doc_id long, label int, terms binary").collect())
-    sets = [np.frombuffer(r.terms, np.uint64) for r in got]
+                ends = np.searchsorted(doc[order], np.arange(b - a + 1))
+                for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    own, first, count = np.unique(h[order[x:y]], return_index=True, return_counts=True)
+                    cells.append((own.tobytes(), count.astype("<u4").tobytes(), word[order[x:y]][first].tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in (zip(*cells, strict=True) if cells else ([], [], [])))], names=["doc_id", "label", "terms", "counts", "words"])
+
+    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(trimmed(work), "doc_id long, label int, terms binary, counts binary, words binary").collect())
+    sets = [(np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, "<u4"), np.frombuffer(r.words, bool)) for r in got]
     toxic, ids = np.array([r.label == 1 for r in got], bool), np.array([r.doc_id for r in got], np.int64)
-    single = distinct_rows(sets)
-    hashes, df = choose_terms([sets[i] for i in single], toxic[single])
-    idf = np.log((len(single) + 1) / (df + 1)) + 1
-    empty = Model(hashes, idf, np.zeros(0, np.int64), np.zeros(0, bool), [], 0.0, k)
-    if not len(hashes):
-        return empty
-    known = Lookup(hashes)
-    with_terms = {int(i) for i, t in zip(ids, sets, strict=True) if (known.find(t) >= 0).any()}
-    rows_of: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-    place = {int(i): k for k, i in enumerate(ids)}
-    for r in rows.select("doc_id", "text").toLocalIterator():
-        if r.doc_id in with_terms:
-            data, offsets = text_buffers(pa.array([r.text], pa.large_string()))
-            rows_of[place[r.doc_id]] = vectors(known, idf, data, offsets)[0]
-    some = np.array([len(t) > 0 for t, _ in rows_of], bool)
-    floor = float(toxic[~some].sum() / ((~some).sum() + 1))
-    return Model(hashes, idf, ids[some], toxic[some], [r for r, s in zip(rows_of, some, strict=True) if s], floor, k)
+    whole = train(ids, toxic, sets, k)
+    if whole.index is not None:
+        fifth = np.argsort(np.argsort(ids * 2654435761 % 4294967291, kind="stable"), kind="stable") % 5 == 0
+        part = train(ids[~fifth], toxic[~fifth], [s for s, f in zip(sets, fifth, strict=True) if not f], k)
+        votes = []
+        for i in np.flatnonzero(fifth).tolist():
+            h, count, _ = sets[i]
+            at = np.minimum(np.searchsorted(part.hashes, h), max(0, len(part.hashes) - 1))
+            hit = part.hashes[at] == h if len(part.hashes) else np.zeros(len(h), bool)
+            votes.append(part.votes(unit_rows(np.zeros(int(hit.sum()), np.int64), at[hit], count[hit], part.factor, 1))[0][0])
+        whole.curve = logistic_curve(np.array(votes), toxic[fifth])
+    return whole
 
 
 def _scored(model: Model, column) -> tuple[list, list, list]:
     data, offsets = text_buffers(column)
     out = []
     for a, b in chunks(offsets):
-        out += [model.score(*v) for v in vectors(model.known, model.idf, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+        out += model.scores(vectors(model.known, model.factor, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
     return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (neighbours' ids, nearest first) and their cosines."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        model.ready()
+        model = held.value.ready()
         for batch in batches:
             scores, ids, cosines = _scored(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "held_out", "score", "predicted", "evidence", "cosines"])
@@ -243,9 +394,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, unchanged."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        model.ready()
+        model = held.value.ready()
         for batch in batches:
             scores, _, _ = _scored(model, batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))

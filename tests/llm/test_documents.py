@@ -263,6 +263,66 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(d, toxicity.fit(d, labels.where("toxic = 0"))).collect()} == {0.0}
 
 
+def test_toxicity_against_brute_force_cosines(spark):
+    """Every neighbour and cosine from plain dictionaries of whole texts."""
+    def marked(rng, words):
+        words[rng.randrange(len(words))] = rng.choice(["grobnik", "zulkar"])
+        return " ".join(words)
+
+    d, labels = labelled_docs(spark, lambda r, w: " ".join(w), marked, 250)
+    model = toxicity.fit(d, labels)
+    text = {r.doc_id: r.text for r in d.collect()}
+
+    def unit(t):
+        found = defaultdict(int)
+        for w in re.findall("[0-9a-z]+", t.lower()):
+            for x in {w, w[:4] if len(w) > 4 else w, w[:5] if len(w) > 5 else w}:
+                found[x] += 1
+        raw = np.frombuffer(" ".join(found).encode(), np.uint8)
+        _, h, word = toxicity.terms(raw, np.array([0, len(raw)]))
+        words = dict(zip(found, h[word].tolist(), strict=True))
+        stems = lambda w, n: int(toxicity.terms(np.frombuffer((w + "x" * 9).encode(), np.uint8), np.array([0, len(w) + 9]))[1][n - 3])
+        factor = dict(zip(model.hashes.tolist(), model.factor.tolist(), strict=True))
+        counts = defaultdict(int)
+        for w in re.findall("[0-9a-z]+", t.lower()):
+            counts[words[w]] += 1
+            for n in (4, 5):
+                if len(w) > n:
+                    counts[stems(w[:n], n)] += 1
+        out = {x: (1 + np.log(c)) * factor[x] for x, c in counts.items() if x in factor}
+        size = np.sqrt(sum(v * v for v in out.values()))
+        return {x: v / size for x, v in out.items()}
+
+    examples = {i: unit(text[i]) for i in model.index.ids.tolist()}
+    rows = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    assert len(examples) > 150 and all(r.evidence for r in rows.values())
+    for i in list(rows)[::9]:
+        own = unit(text[i])
+        want = sorted(((round(sum(v * e.get(x, 0) for x, v in own.items()), 9), -j) for j, e in examples.items()), reverse=True)[:15]
+        assert np.allclose(rows[i].cosines, [c for c, _ in want], atol=1e-9)
+        assert len(set(rows[i].evidence) & {-j for _, j in want}) >= 14
+        vote = (sum(c * (-j % 3 == 0) for c, j in want) + model.floor) / (sum(c for c, _ in want) + 1)
+        assert abs(model.calibrated(vote) - rows[i].score) < 1e-6
+    clean = next(i for i in rows if i % 3 and rows[i].held_out)
+    assert rows[clean].score < 0.5 and len({round(r.score, 9) for r in rows.values()}) > 100
+
+
+def test_toxicity_of_the_given_documents(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(d, toxicity.fit(d, labels)).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in got if r.toxic == t] for t in (0, 1))
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) > 0.85 and all(b < 0.5 for b in good)
+
+
+def test_calibration():
+    rng = np.random.default_rng(5)
+    p = rng.random(4000)
+    y = rng.random(4000) < p
+    a, b = toxicity.logistic_curve(np.clip(p, 0.01, 0.99) ** 2 / (np.clip(p, 0.01, 0.99) ** 2 + (1 - np.clip(p, 0.01, 0.99)) ** 2), y)
+    assert abs(a - 0.5) < 0.08 and abs(b) < 0.15
+    assert toxicity.logistic_curve(p, np.zeros(4000, bool)) is None
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(8)
     unit = lambda n: (t := np.sort(rng.choice(30, n, replace=False)), (w := rng.random(n)) / np.sqrt(w @ w))
@@ -284,6 +344,7 @@ def test_sample_is_bounded_and_honest(spark):
     d, labels = labelled_docs(spark, lambda r, w: "x", lambda r, w: "y")
     got = labelled.sample(d, labels.unionAll(labels.limit(5)), "toxic", 50).collect()
     assert len(got) == 50 and all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
+    assert len(labelled.sample(d, labels, "toxic", 50, max_bytes=20).collect()) == 20 and labelled.sample(d, labels.where("false"), "toxic", 50).collect() == []
 
 
 def test_text_buffers_of_slices():
