@@ -113,23 +113,23 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         size = np.array([len(t) for t, _ in rows], np.int64)
-        row = np.repeat(np.arange(len(rows)), size)
-        term, weight = (np.concatenate([r[k] for r in rows] + [np.zeros(0)]) for k in (0, 1))
-        term = term.astype(np.int64)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+        term = np.concatenate([r[0] for r in rows] + [np.zeros(0, np.int32)]).astype(np.int32)
+        weight = np.concatenate([r[1] for r in rows] + [np.zeros(0)])
         alike = self._alike(np.asarray(ids), row, term, weight, n_terms)
         alike = alike[np.lexsort((np.asarray(ids)[alike], np.arange(len(rows)) // block))]  # blocks ascend by id inside
-        place = np.empty(len(rows), np.int64)
+        place = np.empty(len(rows), np.int32)
         place[alike] = np.arange(len(rows))
         self.block, self.n_blocks = block, -(-len(rows) // block)
         self.ids = np.empty(len(rows), np.int64)
         self.ids[place] = ids
-        order = np.lexsort((place[row], term))
-        term, self.at, self.weight = term[order], place[row][order].astype(np.int32), weight[order]
-        key = term * max(1, self.n_blocks) + self.at // block
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        #: Of each term and block that meet: the block, its largest weight, and where its postings start and stop.
-        self.run_block, self.run_most = (self.at[first] // block), np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.run_start, self.run_stop = first, np.append(first[1:], len(key))
+        order = np.argsort(term * np.int64(max(1, len(rows))) + place[row], kind="stable")
+        term, self.at, self.weight = term[order], place[row[order]], weight[order]
+        del order, row, weight
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(self.at // block, prepend=-1) != 0))
+        #: Of each term and block that meet: the block, its largest weight, and where its postings start.
+        self.run_block, self.run_most = (self.at[first] // block).astype(np.int16), np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.run_edge = np.append(first, len(term)).astype(np.int32)
         self.runs = np.searchsorted(term[first], np.arange(n_terms + 1))
 
     @staticmethod
@@ -147,14 +147,14 @@ class BlockMaxIndex:
     def ready(self) -> BlockMaxIndex:
         """Also holds the postings of the commonest terms as dense columns, block after block: they meet nearly all blocks."""
         if not hasattr(self, "panel"):
-            size = np.add.reduceat(self.run_stop - self.run_start, self.runs[:-1]) * (np.diff(self.runs) > 0) if len(self.run_block) else np.zeros(len(self.runs) - 1, np.int64)
+            size = np.diff(self.run_edge[self.runs].astype(np.int64))
             common = np.argsort(-size, kind="stable")[:DENSE]
             common = common[size[common] > len(self.ids) // 32]
             self.dense_of = np.full(len(size), -1)
             self.dense_of[common] = np.arange(len(common))
             self.panel = np.zeros((self.n_blocks, len(common), self.block))
             run, which = _ranges(self.runs[common], self.runs[common + 1])
-            post, of = _ranges(self.run_start[run], self.run_stop[run])
+            post, of = _ranges(self.run_edge[run], self.run_edge[run + 1])
             self.panel[self.at[post] // self.block, which[of], self.at[post] % self.block] = self.weight[post]
         return self
 
@@ -173,7 +173,7 @@ class BlockMaxIndex:
         term, weight = (np.concatenate([r[j] for r in rows] + [np.zeros(0)]) for j in (0, 1))
         term = term.astype(np.int64)
         run, which = _ranges(self.runs[term], self.runs[term + 1])
-        block, owner, own = self.run_block[run], doc[which], weight[which]
+        block, owner, own = self.run_block[run].astype(np.int64), doc[which], weight[which]
         bounds = np.bincount(owner * blocks + block, own * self.run_most[run], minlength=n * blocks).reshape(n, blocks)
         order = np.argsort(-bounds, axis=1, kind="stable")
         bounds = np.take_along_axis(bounds, order, 1)
@@ -201,7 +201,7 @@ class BlockMaxIndex:
                 cosine = dense[who] @ self.panel[b]
                 mine = rare[edge[b] : edge[b + 1]]
                 mine = mine[place[owner[mine]] >= 0]
-                start, stop = self.run_start[run[mine]], self.run_stop[run[mine]]
+                start, stop = self.run_edge[run[mine]].astype(np.int64), self.run_edge[run[mine] + 1]
                 post, _ = _ranges(start, stop)
                 cell = np.repeat(place[owner[mine]] * self.block - b * self.block, stop - start) + self.at[post]
                 cosine += np.bincount(cell, self.weight[post] * np.repeat(own[mine], stop - start), minlength=cosine.size).reshape(cosine.shape)
@@ -320,18 +320,22 @@ def train(ids: np.ndarray, toxic: np.ndarray, sets: list[tuple[np.ndarray, np.nd
     relevant, _ = choose_terms([sets[i][0] for i in single], toxic[single])
     if not len(relevant):
         return Model(relevant, np.zeros(0), None, np.zeros(0), float(toxic.mean()) if len(toxic) else 0.0, k)
-    hashes = np.unique(np.concatenate([relevant, *(h[word] for h, _, word in sets)]))
-    numbers = [np.searchsorted(hashes, h) for h, _, _ in sets]
-    known = [hashes[np.minimum(n, len(hashes) - 1)] == h for n, (h, _, _) in zip(numbers, sets, strict=True)]
-    df = np.zeros(len(hashes), np.int64)
-    for i in single:
-        df[numbers[i][known[i]]] += 1
+    hashes = relevant
+    for i in range(0, len(sets), 256):
+        hashes = np.union1d(hashes, np.concatenate([h[word] for h, _, word in sets[i : i + 256]]))
+    # one row at a time, so that beside the index only its own terms are held
+    cells, df, held = [], np.zeros(len(hashes), np.int64), np.zeros(len(sets), bool)
     strong = np.isin(hashes, relevant)
+    for i, (h, count, _) in enumerate(sets):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[at] == h
+        cells.append((at[hit].astype(np.int32), count[hit]))
+        held[i] = strong[at[hit]].any()
+    for i in single:
+        df[cells[i][0]] += 1
     factor = np.log((len(single) + 1) / (df + 0.5)) * np.where(strong, 1.0, PLAIN)
-    row = np.repeat(np.arange(len(sets)), [int(f.sum()) for f in known])
-    term, tf = (np.concatenate(x) for x in ([n[f] for n, f in zip(numbers, known, strict=True)], [c[f] for (_, c, _), f in zip(sets, known, strict=True)]))
-    index = BlockMaxIndex(ids, unit_rows(row, term, tf, factor, len(sets)), len(hashes))
-    held = np.bincount(row, strong[term], minlength=len(sets)) > 0
+    rows = [unit_rows(np.zeros(len(t), np.int64), t, count, factor, 1)[0] for t, count in cells]
+    index = BlockMaxIndex(ids, rows, len(hashes))
     label = dict(zip(ids.tolist(), toxic.tolist(), strict=True))
     return Model(hashes, factor, index, np.array([label[i] for i in index.ids.tolist()], float), float((toxic[~held].sum() + 0.5) / ((~held).sum() + 1)), k)
 
@@ -353,23 +357,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int =
                     cells.append((own.tobytes(), count.astype("<u4").tobytes(), word[order[x:y]][first].tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in (zip(*cells, strict=True) if cells else ([], [], [])))], names=["doc_id", "label", "terms", "counts", "words"])
 
-    got = sorted(rows.select("doc_id", "text", "label").mapInArrow(trimmed(work), "doc_id long, label int, terms binary, counts binary, words binary").collect())
-    sets = [(np.frombuffer(r.terms, np.uint64), np.frombuffer(r.counts, "<u4"), np.frombuffer(r.words, bool)) for r in got]
-    toxic, ids = np.array([r.label == 1 for r in got], bool), np.array([r.doc_id for r in got], np.int64)
+    got = rows.select("doc_id", "text", "label").mapInArrow(trimmed(work), "doc_id long, label int, terms binary, counts binary, words binary").toArrow().sort_by("doc_id")
+    cells = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.zeros(0, kind) for x in got.column(c)]  # noqa: E731  views, no copies
+    sets = list(zip(cells("terms", np.uint64), cells("counts", "<u4"), cells("words", bool), strict=True))
+    toxic, ids = got.column("label").to_numpy() == 1, got.column("doc_id").to_numpy()
+    curve = cross_votes(ids, toxic, sets, k) if toxic.any() else None
     whole = train(ids, toxic, sets, k)
-    if whole.index is not None:
-        fifth = np.argsort(np.argsort(ids * 2654435761 % 4294967291, kind="stable"), kind="stable") % 5 == 0
-        part = train(ids[~fifth], toxic[~fifth], [s for s, f in zip(sets, fifth, strict=True) if not f], k)
-        votes = []
-        for i in np.flatnonzero(fifth).tolist():
-            h, count, _ = sets[i]
-            at = np.minimum(np.searchsorted(part.hashes, h), max(0, len(part.hashes) - 1))
-            hit = part.hashes[at] == h if len(part.hashes) else np.zeros(len(h), bool)
-            votes.append(part.votes(unit_rows(np.zeros(int(hit.sum()), np.int64), at[hit], count[hit], part.factor, 1))[0][0])
-        whole.curve = logistic_curve(np.array(votes), toxic[fifth])
+    whole.curve = curve if whole.index is not None else None
     return whole
 
 
+def cross_votes(ids: np.ndarray, toxic: np.ndarray, sets: list, k: int) -> tuple[float, float] | None:
+    """The calibration: votes for a fifth of the rows, by a hash of the id, from a model of the others."""
+    fifth = np.argsort(np.argsort(ids * 2654435761 % 4294967291, kind="stable"), kind="stable") % 5 == 0
+    part = train(ids[~fifth], toxic[~fifth], [s for s, f in zip(sets, fifth, strict=True) if not f], k)
+    if part.index is None:
+        return None
+    votes = []
+    for i in np.flatnonzero(fifth).tolist():
+        h, count, _ = sets[i]
+        at = np.minimum(np.searchsorted(part.hashes, h), len(part.hashes) - 1)
+        hit = part.hashes[at] == h
+        votes.append(part.votes(unit_rows(np.zeros(int(hit.sum()), np.int64), at[hit], count[hit], part.factor, 1))[0][0])
+    return logistic_curve(np.array(votes), toxic[fifth])
+
+
 def _scored(model: Model, column) -> tuple[list, list, list]:
     data, offsets = text_buffers(column)
     out = []
