@@ -8,15 +8,21 @@ an address and its own local part) however far apart: one edge to the previous n
 neither neighbour in that likeness is a base span, one to the nearest base span of it (the last before, else the first
 after).  So edges grow with nodes, and a base span reaches each repeat by itself, however many there are: a run of
 repeats hanging on one edge would rather break it than bear the sum of their bias to O.  As base spans are observed,
-these edges are terms of the repeats' own potentials.  Loopy sum-product messages run until they settle; a candidate whose most likely label is a kind is added.
-Weights are fitted by gradient ascent on the pseudo-likelihood of base labels in a bounded sample of documents
-(``train_docs``, the only bound: every document is scanned and labelled whole).
+these edges are terms of the repeats' own potentials.  Loopy sum-product messages run until they change by less than
+1e-4, or for ``ROUNDS`` rounds; a candidate whose most likely label is a kind is added.
+
+Node, chain and skip weights are fitted together, by gradient ascent on the pseudo-likelihood of candidates' labels given
+their neighbours', in a bounded sample of documents (``train_docs`` of at most ``max_chars`` code points; every document is
+scanned and labelled whole).  Patterns label base spans only, so for each base span of the sample its document gets, at some place, a mention in
+a form that the patterns refuse (a phone without its country, a card in dotted groups, an address's local part), labelled
+with its kind, and a look-alike of the same shape with other digits, labelled O as all other candidates are.
 
 Without a base span all skip potentials meet only unlabelled nodes, and every label stays O; such documents are done
 after the patterns.  Base spans always stay.  Offsets are code points, ends exclusive.
 
 Defined results: null text is empty and has no spans; repeated rows each get the same answer; null ids stay null; other
-columns are not read.  Patterns run in time linear in the text, also on texts that are one long run of digits.
+columns are not read.  A sample without candidates leaves the stated weights of ``Field``.  Patterns and candidates are
+found in time linear in the text, also in texts that are one long run of digits or marks.
 
 At scale: one map over the table, no shuffle; the model is a few dozen numbers.
 """
@@ -26,6 +32,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +50,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])++")
-_WORD = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@?[A-Za-z0-9.-]*")
+_WORD = re.compile(r"[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9.-]*+)?")
 
 
 def luhn(digits: str) -> bool:
@@ -84,12 +92,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Number-like and address-like stretches that touch no base span."""
     out = [(m.start(), m.end()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7]
-    out += [(m.start(), m.end()) for m in _WORD.finditer(text) if m.end() - m.start() >= 5 and _mixed(m[0])]
+    for m in _WORD.finditer(text):
+        if m.end() - m.start() >= 5:
+            word = m[0].rstrip("._%+@-")
+            a = m.end() - len(m[0].lstrip(".-"))
+            if m.start() + len(word) - a >= 5 and _mixed(word):
+                out.append((a, m.start() + len(word)))
     out.sort()
     taken, kept, last = sorted(taken), [], 0
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for a, b in out:
-        k = bisect_left(taken, (b, 0))
-        if a >= last and (k == 0 or max(y for _, y in taken[max(0, k - 4) : k]) <= a):
+        k = bisect_left(starts, b)  # spans that start before the candidate ends, and how far they reach
+        if a >= last and (k == 0 or reach[k - 1] <= a):
             kept.append((a, b))
             last = b
     return kept
@@ -116,7 +130,7 @@ def shape(piece: str) -> np.ndarray:
     return np.array([1, d <= 6, 7 <= d <= 9, 10 <= d <= 12, 13 <= d <= 15, 16 <= d <= 19, d > 19, piece[:1] == "+", "(" in piece, piece.count(".") == 3, "@" in piece, any(c.isalpha() for c in piece), "-" in piece, " " in piece], float)
 
 
-REFUSED = 1.0
+ROUNDS = 400
 N_LABELS, N_FEATURES = 1 + len(KINDS), len(shape(""))
 
 
@@ -155,16 +169,16 @@ class Field:
                 if based and kinds[i] < 0 and not any(abs(b - at) == 1 for b in based[max(0, k - 1) : k + 1]):
                     unary[i, kinds[nodes[based[max(0, k - 1)]]] + 1] += self.skip
 
-    def beliefs(self, unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray, rounds: int = 30) -> np.ndarray:
+    def beliefs(self, unary: np.ndarray, pairs: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         """Loopy sum-product over Potts edges; rows are log beliefs of nodes."""
-        n, m = len(unary), len(pairs)
+        m = len(pairs)
         if not m:
             return unary - np.logaddexp.reduce(unary, axis=1, keepdims=True)
         source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
         same = np.exp(np.concatenate([weights, weights]))[:, None] - 1
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
         message = np.zeros((2 * m, N_LABELS))
-        for _ in range(rounds + min(n, 200)):
+        for _ in range(rounds):
             total = unary.copy()
             np.add.at(total, target, message)
             out = total[source] - message[back]
@@ -197,52 +211,93 @@ class Field:
                 row[k + 1] = 0
             else:
                 row[:] = shape(text[a:b]) @ self.node
-                row[0] = max(row[0], row[1:].max() + REFUSED)  # the patterns refused it: shape alone doesn't overrule that
         self.reach(unary, keys, [k for _, _, k in nodes])
         best = self.beliefs(unary, *self.edges(keys)).argmax(1)
         return [(int(y) - 1, a, b) for y, (a, b, k) in zip(best, nodes, strict=True) if k < 0 and y > 0]
 
 
-def train(texts: list[str], rounds: int = 200, rate: float = 0.5) -> Field:
-    """Pseudo-likelihood fit on base labels: node weights by multinomial logistic ascent, edge weights by label agreement."""
-    rows, labels, agree, seen = [], [], [0, 0], [0, 0]
+def refused_form(piece: str, kind: int) -> str | None:
+    """A mention of a base span that the patterns don't take; None where there is none that makes a candidate."""
+    digits = "".join(c for c in piece if "0" <= c <= "9")
+    if kind == 0:
+        word = piece.rpartition("@")[0]
+        return word if len(word) >= 5 and _mixed(word) else None
+    if kind == 2:
+        return ".".join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if kind == 3 and len(digits) >= 10:
+        national = re.sub("^[+][0-9]*[^0-9(]*", "", piece)
+        return national if sum("0" <= c <= "9" for c in national) >= 9 else digits[-10:]
+    return None
+
+
+def look_alike(piece: str) -> str:
+    """The same shape with other digits and, in addresses, other letters."""
+    turn = str.maketrans("0123456789abcdefghijklmnopqrstuvwxyz", "3456789012nopqrstuvwxyzabcdefghijklm")
+    return piece.translate(turn)
+
+
+def training_document(text: str) -> list[tuple[str, int, int]]:
+    """Nodes (text, kind of a base span or -1, label or -1 where unknown) of a text with mentions and look-alikes added."""
+    base = base_spans(text)
+    nodes = [(a, b, k) for k, a, b in base] + [(a, b, -1) for a, b in candidates(text, [(a, b) for _, a, b in base])]
+    nodes = [(text[a:b], k, k + 1) for a, b, k in sorted(nodes)]
+    held = {key for piece, k, _ in nodes if k >= 0 for key in likenesses(piece, k)}
+    nodes = [(piece, k, y if k >= 0 or not held.intersection(likenesses(piece, None)) else -1) for piece, k, y in nodes]
+    for k, a, b in base:
+        form = refused_form(text[a:b], k)
+        for node in [] if form is None else [(form, -1, k + 1), (look_alike(form), -1, 0)]:
+            nodes.insert(crc32(f"{node[0]}/{len(nodes)}".encode()) % (len(nodes) + 1), node)  # anywhere: no order to learn
+    return nodes
+
+
+def train(texts: list[str], rounds: int = 600, rate: float = 0.3, prior: float = 1e-3, chain_prior: float = 0.05) -> Field:
+    """Pseudo-likelihood fit of node, chain and skip weights on base labels, refused mentions and look-alikes."""
+    x, y, chain, skip = [], [], [], []
+    plain = Field(chain=0.0, skip=1.0)
     for text in texts:
-        base = base_spans(text)
-        nodes = sorted([(a, b, k) for k, a, b in base] + [(a, b, -1) for a, b in candidates(text, [(a, b) for _, a, b in base])])
-        rows += [shape(text[a:b]) for a, b, _ in nodes]
-        labels += [k + 1 for _, _, k in nodes]
-        last: dict[str, int] = {}
-        for i, (a, b, k) in enumerate(nodes):
-            if i:
-                seen[0] += 1
-                agree[0] += nodes[i - 1][2] == k
-            for key in likenesses(text[a:b], k if k >= 0 else None):
-                if key in last:
-                    seen[1] += 1
-                    agree[1] += last[key] == k
-                last[key] = k
-    if not rows:
+        nodes = training_document(text)
+        keys = [likenesses(piece, k if k >= 0 else None) for piece, k, _ in nodes]
+        one = np.zeros((len(nodes) + 1, N_LABELS))  # the last row is no node's
+        for i, (_, _, label) in enumerate(nodes):
+            if label >= 0:
+                one[i, label] = 1
+        alike = np.zeros((len(nodes), N_LABELS))
+        for (i, j), w in zip(*plain.edges(keys), strict=True):
+            alike[i] += w * one[j]
+            alike[j] += w * one[i]
+        plain.reach(alike, keys, [k for _, k, _ in nodes])
+        for i, (piece, k, label) in enumerate(nodes):
+            if k < 0 <= label:
+                x.append(shape(piece))
+                y.append(label)
+                chain.append(one[i - 1] * (i > 0) + one[i + 1])
+                skip.append(alike[i])
+    if not x:
         return Field()
-    x, y = np.array(rows), np.eye(N_LABELS)[labels]
-    w = Field().node.copy()
-    for _ in range(rounds):
-        p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w += rate * (x.T @ (y - p) / len(x) - 1e-2 * w)
-    # what remains unlabelled by the patterns is O by its shape; only a like base span may change it
-    w = np.clip(w, -3, 3)
-    w[0, 0] = max(w[0, 0], 0.5)
-    odds = lambda k, low, high: float(np.clip(np.log((agree[k] + 1) / (seen[k] - agree[k] + 1)), low, high))
-    return Field(w, odds(0, 0.0, 0.5), max(6.0, odds(1, 0.0, 9.0)))
-
-
-def fit(docs: DataFrame, train_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 20_000) -> Field:
-    """Fits on at most ``train_docs`` documents, chosen by a hash of the id among those with a digit or an at sign and no more than ``max_chars`` code points."""
+    x, y, chain, skip = np.array(x), np.eye(N_LABELS)[y], np.array(chain), np.array(skip)
+    start = Field()
+    theta = np.concatenate([start.node.ravel(), [start.chain, start.skip]])
+    moment, square, shrink = np.zeros_like(theta), np.zeros_like(theta), np.full(len(theta), prior)
+    shrink[-2] = chain_prior  # neighbours in the text say little, so few documents shall not make much of them
+    for t in range(1, rounds + 1):
+        logits = x @ theta[:-2].reshape(N_FEATURES, N_LABELS) + theta[-2] * chain + theta[-1] * skip
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        left = y - p / p.sum(1, keepdims=True)
+        slope = np.concatenate([(x.T @ left).ravel(), [(left * chain).sum(), (left * skip).sum()]]) / len(x) - shrink * theta
+        moment, square = 0.9 * moment + 0.1 * slope, 0.99 * square + 0.01 * slope * slope  # steps by Adam's rule
+        theta = theta + rate / np.sqrt(t) * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return Field(theta[:-2].reshape(N_FEATURES, N_LABELS), float(theta[-2]), float(theta[-1]))
+
+
+def fit(docs: DataFrame, train_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 8000) -> Field:
+    """Fits on at most ``train_docs`` distinct rows, the first by a hash, of at most ``max_chars`` code points with a digit or an at sign."""
     text = F.col(text_col)
-    some = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where((F.length(text) <= max_chars) & text.rlike("[0-9@]"))
-    spread = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)
-    rows = spread.orderBy(F.xxhash64("doc_id"), "text").limit(train_docs).select("text").collect()
-    return train([r.text for r in rows])
+    some = docs.select(F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text")).where((F.length(text) <= max_chars) & text.rlike("[0-9@]"))
+    chosen = [r.h for r in some.select("h").distinct().orderBy("h").limit(train_docs).collect()]
+    if not chosen:
+        return train([])
+    rows = some.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return train([r.text for r in sorted(rows)])
 
 
 def spelled(spans: list[tuple[int, int, int]]) -> str:

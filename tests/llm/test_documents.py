@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -60,6 +61,59 @@ def test_one_base_span_reaches_every_repeat(n):
                 assert [(k, t[a:b]) for k, a, b in field.added(t, base)] == [(3, repeat)] * n
 
 
+def marginals_by_enumeration(unary, pairs, weights):
+    n, labels = unary.shape
+    total = np.zeros((n, labels))
+    for state in np.ndindex(*[labels] * n):
+        p = np.exp(sum(unary[i, s] for i, s in enumerate(state)) + sum(w for (i, j), w in zip(pairs, weights, strict=True) if state[i] == state[j]))
+        total[range(n), state] += p
+    return total / total[0].sum()
+
+
+def test_messages_against_exact_marginals():
+    rng, field = np.random.default_rng(3), pii.Field()
+    for n in (1, 2, 4, 5):
+        for _ in range(5):
+            unary = rng.normal(0, 1.5, (n, pii.N_LABELS))
+            tree = np.array([(int(rng.integers(0, j)), j) for j in range(1, n)], np.int64).reshape(-1, 2)
+            weights = rng.uniform(-1, 5, len(tree))
+            exact = marginals_by_enumeration(unary, tree.tolist(), weights)
+            assert np.allclose(np.exp(field.beliefs(unary, tree, weights)), exact, atol=2e-3)
+    agreed = 0
+    for _ in range(30):  # chain and skip edges with loops: approximate, but the likeliest labels are the exact ones
+        unary = rng.normal(0, 1.5, (5, pii.N_LABELS))
+        pairs, weights = np.array([(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (2, 4)]), np.array([0.2, 0.1, 0.2, 0.1, 1.5, 1.5])
+        exact = marginals_by_enumeration(unary, pairs.tolist(), weights)
+        got = np.exp(field.beliefs(unary, pairs, weights))
+        assert np.abs(got - exact).max() < 0.15
+        agreed += (got.argmax(1) == exact.argmax(1)).all()
+    assert agreed >= 28
+
+
+def test_weights_are_learnt():
+    texts = [f"Mail j.doe{k}@ex{k}.org or call +1 (743) 555-{1000 + k}; order {k * 7919} of 2024-01-{10 + k % 20}; card 4111 1111 1111 1111." for k in range(60)]
+    one, many = pii.train(texts[:1]), pii.train(texts)
+    for field in (one, many):
+        assert field.skip > 1 and field.skip not in (4.0, 6.0, 9.0) and not np.array_equal(field.node, pii.Field().node)
+    told = "Call +1 (743) 555-1001. Then (743) 555-1001, (743) 555-9999, 555-1001 and 4111.1111.1111.1111, card 4111-1111-1111-1111, J.DOE3 and j.doe3@ex3.org."
+    added = {told[a:b] for _, a, b in many.added(told, pii.base_spans(told))}
+    assert added == {"(743) 555-1001", "4111.1111.1111.1111", "J.DOE3"}
+    assert pii.train(["no candidate"]).skip == pii.Field().skip
+
+
+def test_candidates():
+    t = "x1y2z3 ab_cd. 12345678 and _____ +1 (743) 555-3824 a1b2c3@ 9.9.9.9"
+    base = [(a, b) for _, a, b in pii.base_spans(t)]
+    got = [t[a:b] for a, b in pii.candidates(t, base)]
+    assert got == ["x1y2z3", "ab_cd", "12345678", "a1b2c3"]
+    assert pii.candidates("1234567 1234567", [(0, 9), (0, 1), (0, 2), (0, 3), (1, 2), (2, 3)]) == []
+    field = pii.Field()
+    for hard in ("_" * 10**6, "1 " * 500_000, "a_" * 500_000, "-." * 500_000, "(1" * 500_000, "@" * 10**6):
+        began = time.perf_counter()
+        field.added(hard + " a@b.co", pii.base_spans(hard + " a@b.co"))
+        assert time.perf_counter() - began < 20
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, p string, text_a string")
 
@@ -72,6 +126,11 @@ def test_pii_frames(spark):
     red = pii.redact(d).collect()
     assert sorted(map(str, {(r.text, r.n_chars) for r in red})) == sorted(map(str, {("<EMAIL>", 7), (None, None), ("", 0)})) and pii.redact(d).columns == d.columns
     assert pii.find(d.where("false")).collect() == []
+    told = " ".join(f"Call +1 (743) 555-{1000 + k} now, or (743) 555-{1000 + k}. Order 743555{k}." for k in range(3))
+    planted = pii.find(docs(spark, [(k, told, 0, None, None) for k in range(40)])).collect()
+    assert {(r.n_phone, r.n_added) for r in planted} == {(6, 3)}
+    long = pii.find(docs(spark, [(1, "word " * 400_000 + "a@b.co " + "_" * 1_000_000, 0, None, None)])).first()
+    assert long.n_email == 1
 
 
 def test_media(spark, tmp_path):
