@@ -51,7 +51,10 @@ def test_mixing(spark):
     assert (got.mix_release <= got.mix_slot).all() and (got.mix_slot < got.mix_deadline).all() and got.mix_slot.is_monotonic_increasing
     got["source"] = got.source.fillna("")
     n = got.source.value_counts().sort_index()
-    a = np.maximum(1, np.round(n**0.5 / (n**0.5).sum() * 100)).astype(int)
+    root = n**0.5
+    slots = max(100, int(np.ceil(root.sum() / root.min() * mixing.LEAST_SLOTS)))
+    a = np.maximum(1, np.round(root / root.sum() * slots)).astype(int)
+    assert (np.abs(a / a.sum() - root / root.sum()) <= root / root.sum() / 15).all()
     plan = schedule_by_hand(a.tolist())
     blocks = got.drop_duplicates(["source", "mix_block"])
     names = list(n.index)
@@ -70,6 +73,31 @@ def test_mixing(spark):
     assert mixed.columns == frame.columns and [len(p) for p in mixed.rdd.glom().collect()] == [300] * 6 + [203]
     assert [r.doc_id for r in mixed.collect()] == got.doc_id.tolist()
     assert mixing.positions(frame.where("false")).collect() == [] and mixing.mixed(frame.where("false")).collect() == []
+    own = frame.limit(50).selectExpr("doc_id", "source", "n as mix_position", "text as row", "n as hash", "text as bucket", "map('a', n) as rank")
+    kept = mixing.mixed(own, rows_per_partition=20)
+    assert kept.columns == own.columns and sorted(map(str, kept.collect())) == sorted(map(str, own.collect()))
+    assert sorted(r.mix_position for r in mixing.positions(own).collect()) == list(range(50))
+
+
+def test_schedule_of_many_sources(spark):
+    """Equal and very unequal weights against a plain simulation; targets are met, the smallest too."""
+    weights = [1, 1, 1, 2, 2, 3, 5, 5, 5, 5, 40, 97, 300]
+    one = spark.createDataFrame([([f"s{k:02}" for k in range(13)], [1000] * 13, weights, sum(weights))], "names array<string>, n array<long>, share array<long>, period long")
+    got = sorted((r.slot, r.source, r.j) for r in mixing.schedule(one).collect())
+    assert got == [(t, f"s{i:02}", j) for t, (i, j) in enumerate(schedule_by_hand(weights))]
+    counts = spark.createDataFrame([("big", 10**6), ("small", 100), ("tiny", 1)], "source string, n long")
+    table = mixing.sources_table(counts, {"big": 1.0, "small": 0.0016, "tiny": 0.0001}, 0.5, 1000).first()
+    assert np.allclose(np.array(table.share) / table.period, np.array([1, 0.0016, 0.0001]) / 1.0017, rtol=1 / 16)
+
+
+def test_rows_of_no_id_are_spread(spark):
+    rows = spark.range(6000).selectExpr("cast(null as long) as doc_id", "'hot' as source", "id as n")
+    got = mixing.positions(rows, block_rows=16)
+    assert sorted(r.mix_position for r in got.collect()) == list(range(6000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [len(p) for p in mixing._placed(rows, None, 0.5, 16, 1000, "doc_id", "source").rdd.glom().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 0.7 * sum(sizes) == 0.7 * 6000
 
 
 def test_tree_is_exact_at_factor_one():
