@@ -1,6 +1,7 @@
 """Word hashing, tokenization, token files and packing against plain re-computation."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -101,6 +102,36 @@ def test_differencing():
     assert len(tight) == 4  # the sum asks for three windows; each pair exceeds the capacity, so the count rises
 
 
+def test_windows_stay_those_of_the_differencing():
+    rng = np.random.default_rng(2)
+    sizes = np.minimum(rng.pareto(1.1, 4000) * 120 + 1, 2047).astype(int)
+    sizes[-1] += 2048 - sizes.sum() % 2048
+    tails = [(k, 0, np.full(n, k, np.int64), n) for k, n in enumerate(sizes.tolist())]
+    count = int(sizes.sum() // 2048)
+    before = packing.near_equal(tails, count)
+    near = [sum(len(t[2]) for t in w) for w in before]
+    moved = sum(max(0, n - 2048) for n in near)
+    assert len(before) == count and max(near) - min(near) < 0.02 * 2048 and moved < 0.005 * sizes.sum()
+    after = packing.levelled([list(w) for w in before], 2048)
+    assert {sum(len(t[2]) for t in w) for w in after} == {2048}
+    own = Counter()
+    for w in after:
+        for i, _, ids, _ in w:
+            assert set(ids.tolist()) == {i}
+            own[i] += len(ids)
+    assert own == {k: n for k, n in enumerate(sizes.tolist())}
+
+
+def test_blocks_of_many_tiny_documents():
+    packer = packing.Packer(2048, 0)
+    began = time.perf_counter()
+    for k in range(300_000):
+        packer.add(k, np.ones(1 + k % 3, np.int64))
+    packer.pack(last=True)
+    got = packer.take()
+    assert time.perf_counter() - began < 60 and len(got) >= 300_000 and sum(r[2] for r in got) == sum(1 + k % 3 for k in range(300_000))
+
+
 def test_packing(spark):
     texts = ODD + random_texts(200) + ["word " * 5000]
     docs = frame(spark, texts, [*range(len(texts) - 1), None]).repartition(3)
