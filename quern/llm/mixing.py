@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.storage import stored
+from quern.llm.storage import own_prefix, stored
 
 BUCKET_ROWS, MOST_SLOTS, LEAST_SLOTS, BLOCKS_PER_TASK = 1024, 1 << 17, 16, 1 << 16
 
@@ -114,35 +114,38 @@ def _block_places(plan: DataFrame, block_rows: int) -> DataFrame:
 
 def positions(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, block_rows: int = 64, period: int = 1000, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with mix_block, mix_release, mix_deadline, mix_slot and the unique mix_position from 0."""
-    placed = _placed(docs, weights, alpha, block_rows, period, id_col, source_col)
-    made = [c for c in placed.columns if c != "row"]
-    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made], *made)
+    own, placed = _placed(docs, weights, alpha, block_rows, period, id_col, source_col)
+    made = [c.removeprefix(own) for c in placed.columns if c.startswith(own)]
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], *[F.col(own + c).alias(c) for c in made])
 
 
-def _placed(docs: DataFrame, weights: Mapping[str, float] | None, alpha: float, block_rows: int, period: int, id_col: str, source_col: str) -> DataFrame:
-    """Each row of ``docs`` as a struct ``row``, so that no column's name meets another's, and its place in the schedule."""
-    of = lambda c: F.col(f"`{c}`")
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None, alpha: float, block_rows: int, period: int, id_col: str, source_col: str) -> tuple[str, DataFrame]:
+    """A prefix, and ``docs`` with the schedule's columns named with it."""
+    of, own = lambda c: F.col(f"`{c}`"), own_prefix(docs)
     hashed = F.xxhash64(*[of(c) for c in docs.columns if not _has_map(docs.schema[c].dataType)])
-    source = F.coalesce(of(source_col).cast("string"), F.lit("")).alias("source")
-    keyed = docs.select(source, hashed.alias("hash"))
+    source = F.coalesce(of(source_col).cast("string"), F.lit(""))
+    keyed = docs.select(source.alias("source"), hashed.alias("hash"))
     counts = stored(keyed.groupBy("source").agg(F.count("*").alias("n")), "sources")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    bucket = F.pmod(F.shiftright("hash", 8), F.lit(max(1, math.ceil(total / BUCKET_ROWS))))
+    bucket = lambda h: F.pmod(F.shiftright(h, 8), F.lit(max(1, math.ceil(total / BUCKET_ROWS))))
     plan = stored(schedule(sources_table(counts, weights, alpha, period)), "schedule")
-    sizes = keyed.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.count("*").alias("size"))
+    sizes = keyed.withColumn("bucket", bucket("hash")).groupBy("source", "bucket").agg(F.count("*").alias("size"))
     first = sizes.select("source", "bucket", "size", (F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("first"))
     touched = first.select("source", "bucket", "first", F.explode(F.sequence(F.floor(F.col("first") / block_rows), F.floor((F.col("first") + F.col("size") - 1) / block_rows))).alias("block"))
     places = touched.join(_block_places(plan, block_rows), ["source", "block"]).groupBy("source", "bucket", "first", "share", "period").agg(F.array_sort(F.collect_list(F.struct("block", "start", "slot"))).alias("blocks"))
-    rows = docs.select(F.struct(*[of(c) for c in docs.columns]).alias("row"), source, hashed.alias("hash")).withColumn("bucket", bucket)
-    order = Window.partitionBy("source", "bucket").orderBy("hash", F.col(f"row.`{id_col}`"))
-    rows = rows.withColumn("rank", F.row_number().over(order) - 1).join(places, ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("first"))
-    rows = rows.withColumn("at", F.get("blocks", (F.floor(F.col("rank") / block_rows) - F.col("blocks")[0]["block"]).cast("int")))
-    j, cycle = F.col("at.block") % F.col("share"), F.floor(F.col("at.block") / F.col("share")) * F.col("period")
+    places = places.toDF(*[own + c for c in places.columns])
+    mine = lambda c: F.col(own + c)
+    rows = docs.withColumns({own + "source": source, own + "hash": hashed}).withColumn(own + "bucket", bucket(own + "hash"))
+    order = Window.partitionBy(own + "source", own + "bucket").orderBy(own + "hash", of(id_col))
+    rows = rows.withColumn(own + "rank", F.row_number().over(order) - 1).join(places, [own + "source", own + "bucket"]).withColumn(own + "rank", mine("rank") + mine("first"))
+    rows = rows.withColumn(own + "at", F.get(mine("blocks"), (F.floor(mine("rank") / block_rows) - mine("blocks")[0]["block"]).cast("int")))
+    block = mine("at")["block"]
+    j, cycle = block % mine("share"), F.floor(block / mine("share")) * mine("period")
     made = {
-        "mix_block": F.col("at.block"), "mix_slot": F.col("at.slot"), "mix_release": cycle + release(j, F.col("share"), F.col("period")),
-        "mix_deadline": cycle + deadline(j, F.col("share"), F.col("period")), "mix_position": F.col("at.start") + F.col("rank") % block_rows,
+        "mix_block": block, "mix_slot": mine("at")["slot"], "mix_release": cycle + release(j, mine("share"), mine("period")),
+        "mix_deadline": cycle + deadline(j, mine("share"), mine("period")), "mix_position": mine("at")["start"] + mine("rank") % block_rows,
     }
-    return rows.select("row", *[v.cast("long").alias(k) for k, v in made.items()])
+    return own, rows.select(*[of(c) for c in docs.columns], *[v.cast("long").alias(own + k) for k, v in made.items()])
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -154,6 +157,6 @@ def _has_map(kind: T.DataType) -> bool:
 def mixed(docs: DataFrame, rows_per_partition: int = 8192, weights: Mapping[str, float] | None = None, alpha: float = 0.5, block_rows: int = 64, period: int = 1000, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` in mixed order: partition p holds positions p * rows_per_partition and on, in order."""
     n = max(1, math.ceil(docs.count() / rows_per_partition))
-    placed = _placed(docs, weights, alpha, block_rows, period, id_col, source_col)
-    dealt = placed.repartitionById(n, F.floor(F.col("mix_position") / rows_per_partition).cast("int"))
-    return dealt.sortWithinPartitions("mix_position").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    own, placed = _placed(docs, weights, alpha, block_rows, period, id_col, source_col)
+    dealt = placed.repartitionById(n, F.floor(F.col(own + "mix_position") / rows_per_partition).cast("int"))
+    return dealt.sortWithinPartitions(own + "mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])

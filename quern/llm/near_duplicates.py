@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quern.llm.storage import discard, stored
+from quern.llm.storage import discard, own_prefix, stored
 from quern.llm.textcore import Words, chunks, mix, text_buffers, trimmed
 
 SHINGLE = 5
@@ -146,26 +146,28 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def bitmap_mark(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
-    """``docs`` with ``__bm_hit``: true for all rows of ``ids`` (a column ``id``) and few others.
+def bitmap_mark(docs: DataFrame, ids: DataFrame, id_col: str, hit: str, max_bits: int = 1 << 28) -> DataFrame:
+    """``docs`` with a column named ``hit``: true for all rows of ``ids`` (a column ``id``) and few others.
 
     The bitmap has ``max_bits`` at most, so its broadcast is bounded whatever the data; more ids only make it less sharp.
     """
-    n = ids.count()
+    n, own = ids.count(), own_prefix(docs)
+    p, bucket, bitmap = own + "p", own + "bucket", own + "map"
     bits = min(max_bits, max(1 << 15, 1 << math.ceil(math.log2(16 * n + 1))))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    made = ids.select(place(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bm_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bm_map"))
-    at = F.bitmap_bit_position("__bm_p")
-    byte = F.conv(F.hex(F.col("__bm_map").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__bm_p) % 8 as int))")) != 0
-    marked = docs.withColumn("__bm_p", place(F.col(id_col)))
-    marked = marked.join(F.broadcast(made), F.bitmap_bucket_number("__bm_p") == F.col("__bm_bucket"), "left")
-    return marked.withColumn("__bm_hit", F.coalesce(hit, F.lit(False))).drop("__bm_p", "__bm_bucket", "__bm_map")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    made = ids.select(place(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bitmap))
+    at = F.bitmap_bit_position(p)
+    byte = F.conv(F.hex(F.col(bitmap).substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+    marked = docs.withColumn(p, place(F.col(f"`{id_col}`"))).withColumn(bucket, F.bitmap_bucket_number(p))
+    marked = marked.join(F.broadcast(made), bucket, "left")
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(bit, F.lit(False)).alias(hit))
 
 
 def bitmap_filter(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id's bit is set."""
-    return bitmap_mark(docs, ids, id_col).where("__bm_hit").drop("__bm_hit")
+    hit = own_prefix(docs) + "hit"
+    return bitmap_mark(docs, ids, id_col, hit).where(hit).drop(hit)
 
 
 def close_pairs(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -367,15 +369,17 @@ def survivors(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Data
 
     Only rows whose id's bit is set are shuffled and held against the dropped ids; the others stay where they are.
     """
+    own = own_prefix(docs)
+    hit, gone = own + "hit", own + "gone"
     drop = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
-    marked = bitmap_mark(docs, drop, id_col)
-    checked = marked.where("__bm_hit").join(drop.withColumnRenamed("id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
-    return marked.where("not __bm_hit").unionByName(checked).drop("__bm_hit")
+    marked = bitmap_mark(docs, drop, id_col, hit)
+    checked = marked.where(hit).join(drop.withColumnRenamed("id", gone), F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    return marked.where(f"not {hit}").unionByName(checked).drop(hit)
 
 
-def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__fp``, the fingerprint of the text's shingle set; null for the empty set."""
-    schema = StructType([*docs.schema.fields, StructField("__fp", BinaryType())])
+def fingerprinted(docs: DataFrame, text_col: str, fp: str) -> DataFrame:
+    """``docs`` with a column named ``fp``, the fingerprint of the text's shingle set; null for the empty set."""
+    schema = StructType([*docs.schema.fields, StructField(fp, BinaryType())])
 
     def work(batches):
         for batch in batches:
@@ -383,7 +387,7 @@ def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for a, b in chunks(offsets):
                 flat, ends = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 prints = [xxhash.xxh3_128_digest(flat[x:y].tobytes()) if y > x else None for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, "__fp"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, fp])
 
     return docs.mapInArrow(trimmed(work), schema)
 
@@ -402,17 +406,19 @@ def without_copies(left: DataFrame, docs: DataFrame, found: DataFrame, id_col: s
     nameless = not found.where("doc_id is null and n_shingles > 0").isEmpty()
     if again.isEmpty() and not nameless:
         return left
-    ident, names = F.col(id_col), left.columns
+    ident, names, own = F.col(f"`{id_col}`"), left.columns, own_prefix(left)
+    hit, fp = own + "hit", own + "fp"
     plain = [c for c in names if left.schema[c].dataType.typeName() not in ("map", "variant")]
-    marked = bitmap_mark(left, again, id_col)
-    some = fingerprinted(marked.where(F.col("__bm_hit") | ident.isNull()).drop("__bm_hit"), text_col)
+    marked = bitmap_mark(left, again, id_col, hit)
+    # written once: the rows go three ways, and whole rows are compared
+    some = stored(fingerprinted(marked.where(F.col(hit) | ident.isNull()).drop(hit), text_col, fp), "again-rows")
     whole = lambda cols: F.struct(*[F.col(f"`{c}`") for c in cols])
-    one = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(whole(names), whole(plain)).alias("row"))
-    out = marked.where(~F.col("__bm_hit") & ident.isNotNull()).drop("__bm_hit")
-    out = out.unionByName(one(some.where(ident.isNotNull()), id_col, "__fp").select("row.*"))
+    first = lambda rows, *by: stored(rows.groupBy(*by).agg(F.min_by(whole(names), whole(plain)).alias(own + "row")), "first-rows")
+    out = marked.where(~F.col(hit) & ident.isNotNull()).drop(hit)
+    out = out.unionByName(first(some.where(ident.isNotNull()), ident.alias(own + "id"), fp).select(f"{own}row.*"))
     bare = some.where(ident.isNull())
-    out = out.unionByName(bare.where("__fp is null").drop("__fp"))
+    out = out.unionByName(bare.where(F.col(fp).isNull()).drop(fp))
     if nameless:
-        known = fingerprinted(docs.where(ident.isNotNull()).select(F.col(text_col)), text_col).select("__fp").where("__fp is not null").distinct()
-        out = out.unionByName(one(bare.where("__fp is not null"), "__fp").join(known, "__fp", "left_anti").select("row.*"))
+        known = fingerprinted(docs.where(ident.isNotNull()).select(F.col(f"`{text_col}`")), text_col, fp).select(fp).where(F.col(fp).isNotNull()).distinct()
+        out = out.unionByName(first(bare.where(F.col(fp).isNotNull()), fp).join(known, fp, "left_anti").select(f"{own}row.*"))
     return out

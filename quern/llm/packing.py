@@ -8,8 +8,8 @@ documents must stay whole (``windows``) the count k rises while a window exceeds
 a block takes as many tokens as k windows hold, and holds back its last documents' rest for the next block: whenever
 what is held exceeds the windows so far, their count rises.  The windows of the differencing then differ from the
 capacity by little (under one part in 200 of all tokens, a test says); just that is cut off the heavier ones and fills
-the lighter ones.  So windows are full, a
-task pads one at its end only, and cuts that one at a power of two where this pads less.
+the lighter ones.  So windows are full, a task pads one at its end only, and cuts that one at a power of two where this
+pads less.
 
 Very short tails are glued to items of ``GLUED`` tokens first, so a block has a bounded number of items.
 

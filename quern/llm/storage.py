@@ -33,6 +33,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has: columns named with it meet none of the user's.
+
+    (Rows packed in a struct would do as well, but for the optimizer's constraints, whose number doubles with each field
+    that is taken out again.)
+    """
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more (what is made from them must be stored itself)."""
     for df in tables:

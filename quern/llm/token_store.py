@@ -9,7 +9,7 @@ Results are defined for every input: documents come in ascending ``doc_id`` orde
 order of their text; a null text is an empty one, and has the end id only.  Columns other than the id and the text do
 not matter.  No row is dropped; a table without rows gives a result without rows.
 
-At scale: one range shuffle of (doc_id, text); each task streams its range into shard files of a bounded number of
+At scale: one range shuffle of (doc_id, text), whose ranges part rows of one id by their texts' beginnings; each task streams its range into shard files of a bounded number of
 tokens; what comes back to the driver is one total per task.  A lost executor's task writes new files under new names.
 """
 
@@ -31,6 +31,7 @@ MAGIC = b"DACTOK01"
 WIDTHS = (8, 8, 8, 8)
 SUPER = 512
 SHARD_TOKENS = 1 << 22
+SPREAD_CHARS = 32
 _HEAD = struct.Struct("<8sQQI")
 _LEVEL = struct.Struct("<IQQQQ")
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -182,7 +183,8 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
             yield flush()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # a text's first characters don't go against the order of texts, so rows of one id, or of none, are spread by them
+    ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, SPREAD_CHARS).asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     manifest = storage.stored(ordered.mapInArrow(trimmed(work), _MANIFEST), "manifest")
     totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a task
     before, base = 0, []

@@ -1,13 +1,16 @@
 """Chat formatting, mixing, vantage-point search, and the pipeline."""
 
 import hashlib
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import chat, mixing, storage, vantage
+from quern.llm import chat, mixing, pii, storage, toxicity, vantage
+from quern.llm.tokenization import encoder
 
 
 def test_chat_round_trip(spark):
@@ -95,7 +98,7 @@ def test_rows_of_no_id_are_spread(spark):
     got = mixing.positions(rows, block_rows=16)
     assert sorted(r.mix_position for r in got.collect()) == list(range(6000))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    sizes = [len(p) for p in mixing._placed(rows, None, 0.5, 16, 1000, "doc_id", "source").rdd.glom().collect()]
+    sizes = [len(p) for p in mixing._placed(rows, None, 0.5, 16, 1000, "doc_id", "source")[1].rdd.glom().collect()]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(sizes) < 0.7 * sum(sizes) == 0.7 * 6000
 
@@ -197,6 +200,61 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage's rows from plain recomputation: scores, all pairs of sets, spans, token ids."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    left = sorted(i for i in text if scores[i] < 0.5)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[i])) for i in left}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    low = {i: i for i in left}
+
+    def find(i):
+        return i if low[i] == i else find(low[i])
+
+    for i in left:
+        for j in left:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                low[y] = x
+    kept = [i for i in left if find(i) == i]
+    assert len(kept) < len(left)
+    field = pii.fit(docs.where(F.col("doc_id").isin(kept)))
+    told = {i: pii.redact_text(text[i], pii.base_spans(text[i]) + field.added(text[i], pii.base_spans(text[i]))) for i in kept}
+    library = encoder().library
+    tokens = {i: [*library.encode(told[i], add_special_tokens=False).ids, 1] for i in kept}
+    got, sequences = {i: 0 for i in kept}, Counter()
+    for r in sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.start == got[r.doc_id] and r.doc_tokens == len(tokens[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(tokens[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        got[r.doc_id] += r.length
+        sequences[r.sequence_id] += r.length
+    assert got == {i: len(x) for i, x in tokens.items()} and max(sequences.values()) <= 2048
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Empty tables, null ids and texts, repeated rows, a very long text, and columns named as the stages' own."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    word = lambda k: f"w{k * 7919 % 100_003}"
+    long = " ".join(word(k) for k in range(150_000))
+    rows = [(k, " ".join(word(k * 50 + j) for j in range(40)), "en", f"s{k % 3}", 1) for k in range(20)]
+    rows += [(1, rows[1][1], "en", "s1", 1)] * 3 + [(None, None, None, None, None)] * 2 + [(50, "", "en", None, 0), (51, None, None, "s0", None), (52, long, "en", "s0", 2), (None, rows[2][1], "en", "s0", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = "row hit bucket id fp p h __hit __rank rank hash at slot mix_slot mix_position a b text_a doc leader salt score label".split()
+    frame = frame.withColumns({c: F.lit(c) for c in extra})
+    for start in (frame, frame.where("false")):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = storage.stored(stage(spark, docs, sf), f"odd-{name}")
+            assert docs.columns == frame.columns and docs.where("mix_slot <> 'mix_slot' or row <> 'row'").count() == 0
+        ids = sorted((r.doc_id for r in docs.collect()), key=str)
+        assert ids == ([] if start is not frame else sorted([*range(20), 50, 51, 52, None, None], key=str))
+        packed = corpus_pipeline.pack(spark, docs, sf).collect()
+        assert {r.doc_id for r in packed} == set(ids) and (start is frame or packed == [])
+
+
 def test_pipeline_links_from_four_fifths(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}

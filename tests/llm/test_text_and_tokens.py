@@ -89,6 +89,10 @@ def test_token_store(spark):
     got = token_store.token_store(frame(spark, texts, ids), shard_tokens=200).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert token_store.token_store(frame(spark, texts).where("doc_id < 0")).collect() == []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    one = token_store.write_tokens(frame(spark, random_texts(400), [None] * 400).repartition(4))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert one.select("part").distinct().count() > 1
 
 
 def test_differencing():
