@@ -78,12 +78,14 @@ def from_image(image: bytes) -> bytes:
 
 
 def feature(payload: bytes) -> str:
-    """Histogram of the samples' high halves in 255ths, and which of 8x8 cells of eight sampled rows lie above the mean."""
+    """Histogram of the samples' high halves in 255ths, and which of 8x8 cells, of all samples, lie above the mean."""
     x = np.frombuffer(payload, np.uint8)
     counts = np.bincount(x >> 4, minlength=16) * 255 // len(x)
-    rows = x.reshape(-1, WIDTH)
-    cells = rows[np.arange(8) * len(rows) // 8].reshape(8, 8, 8).sum(2, dtype=np.int64)
-    bits = np.packbits(cells.reshape(-1) * len(x) > 8 * int(x.sum(dtype=np.int64)))
+    columns = x.reshape(-1, 8, 8).sum(2, dtype=np.int64)
+    start = np.arange(8) * len(columns) // 8  # fewer than eight rows stand for several bands each
+    size = np.maximum(1, np.diff(start, append=len(columns)))[:, None]
+    cells = np.add.reduceat(columns, start, axis=0)
+    bits = np.packbits((cells / size > 8 * (x.sum(dtype=np.int64) / len(x))).reshape(-1))
     return f"h{counts.astype(np.uint8).tobytes().hex()}c{bits.tobytes().hex()}"
 
 
@@ -128,6 +130,7 @@ class ShardWriter:
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all payloads; returns the index."""
+    storage.modest_batches(docs.sparkSession)
     folder = storage.new_folder(docs.sparkSession, "media")
 
     def work(batches):
@@ -187,7 +190,7 @@ def read_back(index: DataFrame) -> DataFrame:
 
     def work(batches):
         reader, last, value = RangeReader(), None, None
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"]
         for batch in batches:
             got = []
             cols = [batch.column(c).to_pylist() for c in ("shard", "offset", "length", "digest", "width", "height")]
@@ -203,9 +206,9 @@ def read_back(index: DataFrame) -> DataFrame:
                 got.append(value)
             if got:
                 n, sha, crc, size, media, feat = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array(sha), pa.array(crc, pa.int64()), pa.array(size, pa.int64()), pa.array(media), pa.array(feat)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array(sha), pa.array(crc, pa.int64()), pa.array(size, pa.int64()), pa.array(media), pa.array(feat), *(batch.column(c) for c in ("width", "height", "depth"))], names=names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, depth int"
     return fill_metadata(ordered).mapInArrow(trimmed(work), schema)
 
 

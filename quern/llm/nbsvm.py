@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
+from quern.llm.storage import modest_batches
 from quern.llm.textcore import Words, chunks, mix, text_buffers, trimmed
 
 PLACE_BITS = 18
@@ -145,6 +146,7 @@ def train(rows: list[np.ndarray], label: np.ndarray, c: float = 1.0) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_col: str = "quality", c: float = 1.0) -> Model:
     """Fits on at most ``max_train`` labelled rows outside the held-out fold."""
+    modest_batches(docs.sparkSession)
     rows = labelled.sample(docs, labels, label_col, max_train).select("doc_id", "text", "label")
 
     def work(batches):

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quern.llm.storage import discard, own_prefix, stored
+from quern.llm.storage import discard, modest_batches, own_prefix, stored
 from quern.llm.textcore import Words, chunks, mix, text_buffers, trimmed
 
 SHINGLE = 5
@@ -343,6 +343,7 @@ def open_pairs(shared: DataFrame, part: DataFrame, docs: DataFrame, threshold: i
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    modest_batches(docs.sparkSession)
     sigs = stored(signatures(docs), "signatures")
     known = sigs.where("doc_id is not null and n_shingles > 0")
     reps = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs")), "representatives")

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.storage import modest_batches
 from quern.llm.textcore import trimmed, unsigned_crc32
 from quern.llm.tokenization import encoder
 
@@ -203,6 +204,7 @@ PLACE_BITS = 24
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", place: Column | None = None) -> DataFrame:
     """All documents packed; one row a piece, ``sequence_length`` being the padded length of its sequence."""
+    modest_batches(docs.sparkSession)
     placed = [] if place is None else [place.cast("long").alias("place")]
 
     def work(batches):

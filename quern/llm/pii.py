@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textcore import trimmed
+from quern.llm.storage import modest_batches
+from quern.llm.textcore import trim, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -297,7 +298,10 @@ def fit(docs: DataFrame, train_docs: int = 2000, id_col: str = "doc_id", text_co
     if not chosen:
         return train([])
     rows = some.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min("text").alias("text")).collect()
-    return train([r.text for r in sorted(rows)])
+    field = train([r.text for r in sorted(rows)])
+    del rows
+    trim()
+    return field
 
 
 def spelled(spans: list[tuple[int, int, int]]) -> str:
@@ -306,6 +310,7 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans, n_added."""
+    modest_batches(docs.sparkSession)
     field = field or fit(docs, id_col=id_col, text_col=text_col)
 
     def work(batches):
@@ -338,6 +343,7 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the found spans replaced in the text (and the count of code points renewed); null text stays null."""
+    modest_batches(docs.sparkSession)
     field = field or fit(docs, id_col=id_col, text_col=text_col)
 
     def work(batches):

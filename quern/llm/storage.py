@@ -33,6 +33,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of whole texts in an Arrow batch at most.
+BATCH_ROWS = 2048
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``: JVM and workers each hold a batch of whole texts or two.
+
+    Spark has this as a session setting only; a smaller one stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def own_prefix(df: DataFrame) -> str:
     """A prefix that no column of ``df`` has: columns named with it meet none of the user's.
 

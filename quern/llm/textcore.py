@@ -124,13 +124,18 @@ def trimmed(work):
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return run
 
 
+def trim() -> None:
+    """Hands freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unsigned_crc32(part: bytes | memoryview) -> int:
     import zlib
 

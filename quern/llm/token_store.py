@@ -153,6 +153,7 @@ _MANIFEST = "part int, seq int, path string, n_tokens long, n_docs long"
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = SHARD_TOKENS, widths: tuple[int, ...] = WIDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the token files; returns their manifest: part, seq, path, n_tokens, n_docs, and the tokens before each."""
     spark = docs.sparkSession
+    storage.modest_batches(spark)
     folder = storage.new_folder(spark, "tokens")
 
     def work(batches):

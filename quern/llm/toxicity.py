@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.textcore import WORDY, Words, chunks, text_buffers, trimmed
+from quern.llm.storage import modest_batches
+from quern.llm.textcore import WORDY, Words, chunks, text_buffers, trim, trimmed
 
 STEMS = (4, 5)
 MAX_TRAIN, MAX_BYTES, NEIGHBOURS, BLOCK, PLAIN = 6000, 1 << 26, 15, 256, 0.01
@@ -342,6 +343,7 @@ def train(ids: np.ndarray, toxic: np.ndarray, sets: list[tuple[np.ndarray, np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int = NEIGHBOURS, label_col: str = "toxic", max_bytes: int = MAX_BYTES) -> Model:
     """Fits on at most ``max_train`` labelled rows of ``max_bytes`` in all; every other figure follows from them."""
+    modest_batches(docs.sparkSession)
     rows = labelled.sample(docs, labels, label_col, max_train, max_bytes=max_bytes)
 
     def work(batches):
@@ -364,6 +366,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, k: int =
     curve = cross_votes(ids, toxic, sets, k) if toxic.any() else None
     whole = train(ids, toxic, sets, k)
     whole.curve = curve if whole.index is not None else None
+    del got, sets
+    trim()  # the driver stays as large as it once was, otherwise
     return whole
 
 
@@ -392,6 +396,7 @@ def _scored(model: Model, column) -> tuple[list, list, list]:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (neighbours' ids, nearest first) and their cosines."""
+    modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
@@ -406,6 +411,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, unchanged."""
+    modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
