@@ -36,7 +36,7 @@ from quern.llm.storage import modest_batches
 from quern.llm.textcore import trimmed, unsigned_crc32
 from quern.llm.tokenization import encoder
 
-BLOCK_TOKENS, GLUED = 1 << 21, 64
+BLOCK_TOKENS, GLUED = 1 << 20, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 

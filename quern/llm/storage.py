@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of whole texts in an Arrow batch at most.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def modest_batches(spark: SparkSession) -> None:

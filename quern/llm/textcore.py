@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240611))
 RAW = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,13 +117,18 @@ class Words:
         return self.data[self.start[k] : self.end[k]].tobytes()
 
 
-def trimmed(work):
-    """A worker function that hands freed memory back when its task ends: workers live on, and their peaks would add up."""
+def trimmed(work, *broadcasts):
+    """A worker function that hands freed memory back when its task ends: workers live on, and their peaks would add up.
+
+    Values of ``broadcasts`` are let go as well; the next task loads them from the executor's own copy.
+    """
 
     def run(batches):
         try:
             yield from work(batches)
         finally:
+            for b in broadcasts:
+                b.__dict__.pop("_value", None)
             trim()
 
     return run

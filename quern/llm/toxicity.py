@@ -39,7 +39,9 @@ from quern.llm.textcore import WORDY, Words, chunks, text_buffers, trim, trimmed
 STEMS = (4, 5)
 MAX_TRAIN, MAX_BYTES, NEIGHBOURS, BLOCK, PLAIN = 6000, 1 << 26, 15, 256, 0.01
 #: Terms at most whose postings are also held as dense columns.
-DENSE = 512
+DENSE = 256
+#: Bytes of text scored together: more visit a block together then.
+SCORED_BYTES = 1 << 19
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -389,7 +391,7 @@ def cross_votes(ids: np.ndarray, toxic: np.ndarray, sets: list, k: int) -> tuple
 def _scored(model: Model, column) -> tuple[list, list, list]:
     data, offsets = text_buffers(column)
     out = []
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, SCORED_BYTES):
         out += model.scores(vectors(model.known, model.factor, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
     return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
 
@@ -400,13 +402,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        model = held.value.ready()
         for batch in batches:
-            scores, ids, cosines = _scored(model, batch.column(1))
+            scores, ids, cosines = _scored(held.value.ready(), batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "held_out", "score", "predicted", "evidence", "cosines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), labelled.held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(trimmed(work), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
+    return rows.mapInArrow(trimmed(work, held), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -415,9 +416,8 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        model = held.value.ready()
         for batch in batches:
-            scores, _, _ = _scored(model, batch.column(batch.schema.get_field_index(text_col)))
+            scores, _, _ = _scored(held.value.ready(), batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(trimmed(work), docs.schema)
+    return docs.mapInArrow(trimmed(work, held), docs.schema)
