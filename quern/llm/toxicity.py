@@ -39,7 +39,7 @@ from quern.llm.textcore import WORDY, Words, chunks, text_buffers, trim, trimmed
 STEMS = (4, 5)
 MAX_TRAIN, MAX_BYTES, NEIGHBOURS, BLOCK, PLAIN = 6000, 1 << 26, 15, 256, 0.01
 #: Terms at most whose postings are also held as dense columns.
-DENSE = 256
+DENSE = 512
 #: Bytes of text scored together: more visit a block together then.
 SCORED_BYTES = 1 << 19
 
@@ -106,9 +106,15 @@ def vectors(known: Lookup, factor: np.ndarray, data: np.ndarray, offsets: np.nda
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, one range after another, and the number of the range of each."""
+    return _numbers(start, stop), np.repeat(np.arange(len(start)), stop - start)
+
+
+def _numbers(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after another."""
     size = stop - start
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size), which
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 class BlockMaxIndex:
@@ -205,7 +211,7 @@ class BlockMaxIndex:
                 mine = rare[edge[b] : edge[b + 1]]
                 mine = mine[place[owner[mine]] >= 0]
                 start, stop = self.run_edge[run[mine]].astype(np.int64), self.run_edge[run[mine] + 1]
-                post, _ = _ranges(start, stop)
+                post = _numbers(start, stop)
                 cell = np.repeat(place[owner[mine]] * self.block - b * self.block, stop - start) + self.at[post]
                 cosine += np.bincount(cell, self.weight[post] * np.repeat(own[mine], stop - start), minlength=cosine.size).reshape(cosine.shape)
                 self._offer(who, b, np.round(cosine, 12), best, best_at)
