@@ -3,6 +3,11 @@
 Stages, in order: documents that score as toxic go; of each group of near duplicates the one of smallest id stays;
 personal data is replaced by placeholders; the rest is put in an order that mixes sources to target weights; and that
 order is packed into windows of tokens.  All stages but the last return the columns of ``documents``.
+
+Defined results: a null text is an empty one; empty and null texts score as not toxic, are near no other text and pack
+as their end id alone.  Rows of null id are documents of their own, but for whole copies of others, which go; of
+repeated rows one stays.  Ties in the order go to the smaller id.  Extra columns pass through every stage but the last
+unchanged, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
