@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,7 +108,9 @@ def _block_places(plan: DataFrame, block_rows: int) -> DataFrame:
     for r in sorted(blocks.groupBy("file").agg(F.min("slot").alias("first"), F.sum("size").alias("size")).collect(), key=lambda r: r["first"]):
         before.append((r.file, at))
         at += r.size
-    before = plan.sparkSession.createDataFrame(before, "file string, before long")
+    # as an Arrow table: rows of Python objects would pass through Python workers of their own kind on every executor
+    names, places = zip(*before, strict=True) if before else ((), ())
+    before = plan.sparkSession.createDataFrame(pa.table({"file": pa.array(names, pa.string()), "before": pa.array(places, pa.int64())}))
     inside = F.sum("size").over(Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return blocks.join(F.broadcast(before), "file").select("source", "block", "slot", (F.col("before") + inside).alias("start"), "share", "period")
 

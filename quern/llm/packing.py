@@ -229,4 +229,4 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
         if packer.out:
             yield rows(packer.take())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *placed).mapInArrow(trimmed(work), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *placed).mapInArrow(trimmed(work, keeps=("encoders",)), SCHEMA)

@@ -117,13 +117,28 @@ class Words:
         return self.data[self.start[k] : self.end[k]].tobytes()
 
 
-def trimmed(work, *broadcasts):
+#: What a worker keeps from one task to the next, by name: dictionaries that are emptied once it begins other work.
+KEPT: dict[str, dict] = {}
+
+
+def let_go(keeps: tuple[str, ...] = ()) -> None:
+    """Empties what is in ``KEPT`` under other names than ``keeps``."""
+    others = [held for name, held in KEPT.items() if held and name not in keeps]
+    for held in others:
+        held.clear()
+    if others:
+        trim()
+
+
+def trimmed(work, *broadcasts, keeps: tuple[str, ...] = ()):
     """A worker function that hands freed memory back when its task ends: workers live on, and their peaks would add up.
 
-    Values of ``broadcasts`` are let go as well; the next task loads them from the executor's own copy.
+    Values of ``broadcasts`` are let go as well; the next task loads them from the executor's own copy.  Of ``KEPT`` only
+    what ``keeps`` names outlives the task's beginning: a worker that has tokenized drops its tokenizer before it scores.
     """
 
     def run(batches):
+        let_go(keeps)
         try:
             yield from work(batches)
         finally:

@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # a text's first characters don't go against the order of texts, so rows of one id, or of none, are spread by them
     ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, SPREAD_CHARS).asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    manifest = storage.stored(ordered.mapInArrow(trimmed(work), _MANIFEST), "manifest")
+    manifest = storage.stored(ordered.mapInArrow(trimmed(work, keeps=("encoders",)), _MANIFEST), "manifest")
     totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a task
     before, base = 0, []
     for r in totals:

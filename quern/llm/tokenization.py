@@ -16,10 +16,10 @@ import re
 
 import numpy as np
 
-from quern.llm.textcore import Words, chunks, text_buffers
+from quern.llm.textcore import KEPT, Words, chunks, text_buffers
 
 _SLOTS_BITS = 21
-_OPENED: dict[str, Encoder] = {}
+_OPENED: dict[str, Encoder] = KEPT.setdefault("encoders", {})
 #: Words of lower-case Latin letters, digits and ASCII marks without apostrophes; composed already, so NFC keeps them.
 _PLAIN = re.compile("[!-&(-~\u00e0-\u00f6\u00f8-\u00ff\u0153\u0161\u017e]+")
 _PIECES = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff\u0153\u0161\u017e]+|[0-9]|[^a-z0-9\u00e0-\u00f6\u00f8-\u00ff\u0153\u0161\u017e]+")

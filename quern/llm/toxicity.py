@@ -42,6 +42,8 @@ MAX_TRAIN, MAX_BYTES, NEIGHBOURS, BLOCK, PLAIN = 6000, 1 << 26, 15, 256, 0.01
 DENSE = 512
 #: Bytes of text scored together: more visit a block together then.
 SCORED_BYTES = 1 << 19
+#: Rows whose bounds, and terms whose dense columns, are made at a time.
+PART = 32
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +63,7 @@ class Lookup:
     """Numbers of known 64-bit hashes, by open addressing."""
 
     def __init__(self, hashes: np.ndarray):
-        self.bits = max(8, int(4 * len(hashes) + 1).bit_length())
+        self.bits = max(8, int(2 * len(hashes) + 1).bit_length())
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         at, left = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(hashes))
         while len(left):
@@ -162,9 +164,11 @@ class BlockMaxIndex:
             self.dense_of = np.full(len(size), -1)
             self.dense_of[common] = np.arange(len(common))
             self.panel = np.zeros((self.n_blocks, len(common), self.block))
-            run, which = _ranges(self.runs[common], self.runs[common + 1])
-            post, of = _ranges(self.run_edge[run], self.run_edge[run + 1])
-            self.panel[self.at[post] // self.block, which[of], self.at[post] % self.block] = self.weight[post]
+            for a in range(0, len(common), PART):  # else all their postings' numbers are held at once
+                some = common[a : a + PART]
+                run, which = _ranges(self.runs[some], self.runs[some + 1])
+                post, of = _ranges(self.run_edge[run], self.run_edge[run + 1])
+                self.panel[self.at[post] // self.block, a + which[of], self.at[post] % self.block] = self.weight[post]
         return self
 
     def __getstate__(self):
@@ -178,20 +182,32 @@ class BlockMaxIndex:
         """``nearest`` of many unit vectors: those that visit the same block do so together."""
         self.ready()
         n, blocks = len(rows), self.n_blocks
-        doc = np.repeat(np.arange(n), [len(t) for t, _ in rows])
+        ends = np.concatenate(([0], np.cumsum([len(t) for t, _ in rows], dtype=np.int64)))
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
         term, weight = (np.concatenate([r[j] for r in rows] + [np.zeros(0)]) for j in (0, 1))
         term = term.astype(np.int64)
-        run, which = _ranges(self.runs[term], self.runs[term + 1])
-        block, owner, own = self.run_block[run].astype(np.int64), doc[which], weight[which]
-        bounds = np.bincount(owner * blocks + block, own * self.run_most[run], minlength=n * blocks).reshape(n, blocks)
+        column = self.dense_of[term]
+        # a few rows' runs at a time: only those of terms without a dense column stay, by their numbers
+        bounds, run, which = np.zeros((n, blocks)), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, n, PART):
+            b = min(n, a + PART)
+            own = slice(int(ends[a]), int(ends[b]))
+            runs, cell = _ranges(self.runs[term[own]], self.runs[term[own] + 1])
+            cell += own.start
+            bounds[a:b] = np.bincount((doc[cell] - a) * np.int64(blocks) + self.run_block[runs], weight[cell] * self.run_most[runs], minlength=(b - a) * blocks).reshape(b - a, blocks)
+            rare = column[cell] < 0
+            run.append(runs[rare].astype(np.int32))
+            which.append(cell[rare])
+        run, which = np.concatenate(run), np.concatenate(which)
         order = np.argsort(-bounds, axis=1, kind="stable")
         bounds = np.take_along_axis(bounds, order, 1)
-        column = self.dense_of[term]
         dense = np.zeros((n, self.panel.shape[1]))
         dense[doc[column >= 0], column[column >= 0]] = weight[column >= 0]
-        rare = np.flatnonzero(column[which] < 0)
-        rare = rare[np.argsort(block[rare], kind="stable")]
-        edge = np.searchsorted(block[rare], np.arange(blocks + 1))
+        by_block = np.argsort(self.run_block[run], kind="stable")
+        run, which = run[by_block], which[by_block]
+        edge = np.searchsorted(self.run_block[run], np.arange(blocks + 1))
+        owner, own = doc[which], weight[which]
+        del by_block, which
         best, best_at = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
         place = np.empty(n, np.int64)
         live, done, step = np.arange(n), 0, 2
@@ -208,8 +224,7 @@ class BlockMaxIndex:
                 place[:] = -1
                 place[who] = np.arange(len(who))
                 cosine = dense[who] @ self.panel[b]
-                mine = rare[edge[b] : edge[b + 1]]
-                mine = mine[place[owner[mine]] >= 0]
+                mine = edge[b] + np.flatnonzero(place[owner[edge[b] : edge[b + 1]]] >= 0)
                 start, stop = self.run_edge[run[mine]].astype(np.int64), self.run_edge[run[mine] + 1]
                 post = _numbers(start, stop)
                 cell = np.repeat(place[owner[mine]] * self.block - b * self.block, stop - start) + self.at[post]
