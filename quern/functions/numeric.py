@@ -129,7 +129,7 @@ def divide(a: Typed, b: Typed) -> Typed:
     kind = promote(settle(a.kind), settle(b.kind)) if not (a.kind.startswith("weak") ^ b.kind.startswith("weak")) else promote(a.kind, b.kind)
     kind = kind if kind in FLOATS else "double"
     x, y = to(a, kind).cast("double"), to(b, kind).cast("double")
-    by_zero = F.when((x == 0) | F.isnan(x), nan()).when((x < 0) != sign_of(y), F.lit(-INF)).otherwise(F.lit(INF))
+    by_zero = F.when((x == 0) | F.isnan(x), nan()).when((x < 0) != sign_of(y), F.lit(-INF)).when(x.isNotNull(), F.lit(INF))
     return Typed(F.when(y == 0, by_zero).otherwise(x / F.when(y != 0, y)).cast(kind), kind)
 
 

@@ -114,3 +114,10 @@ def test_nulls_stay(spark):
     compiler = Compiler(frame.schema)
     texts = ["a + b", "a / b", "a % b", "a // b", "a ** b", "a < b", "fmax(a, b)", "where(a, b, b)", "log(a)", "sqrt(a)", "ceil(a)", "isfinite(a)", "nextafter(a, b)"]
     assert list(frame.select(*[compiler.compile(t).col for t in texts]).first()) == [None] * len(texts)
+
+
+def test_null_over_zero_is_null(spark):
+    frame = spark.createDataFrame([(None, None, 0.0, -0.0)], "a double, i int, b double, c double")
+    compiler = Compiler(frame.schema)
+    texts = ["a / 0.0", "a / -0.0", "i / 0.0", "i / 0", "a / b", "a / c"]
+    assert list(frame.select(*[compiler.compile(t).col for t in texts]).first()) == [None] * len(texts)
